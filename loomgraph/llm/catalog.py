@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import encoder, splitter
+from loomgraph.llm import encoder, leakage, splitter
 from loomgraph.sources.tables import table
 
 
@@ -20,11 +20,30 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoder.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)}
 
 SQL = {
     "p7_found": """
 SELECT DISTINCT f.fn_id FROM extracted_function f
 LEFT JOIN (SELECT workspace, min(token_limit) AS token_limit FROM embedding_config GROUP BY 1) c USING (workspace)
 WHERE strlen(f.body) // 4 > coalesce(c.token_limit, 512)""",
+    "p9_found": """
+WITH item AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+want AS (
+  SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+  FROM (SELECT *, least(12, len(w)) AS n FROM item WHERE len(w) > 0)),
+have AS (
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+  FROM doc, (SELECT DISTINCT n FROM want) WHERE len(w) >= n)
+SELECT DISTINCT doc_id, item_id FROM have JOIN want USING (n, gram)""",
 }
