@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import encoder, leakage, splitter
+from loomgraph.llm import encoder, leakage, spans, splitter
 from loomgraph.sources.tables import table
 
 
@@ -28,7 +28,15 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.found(table(spark, folder, "documents"))
+
+
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shares(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
 
 SQL = {
     "p7_found": """
@@ -46,4 +54,9 @@ have AS (
   SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
   FROM doc, (SELECT DISTINCT n FROM want) WHERE len(w) >= n)
 SELECT DISTINCT doc_id, item_id FROM have JOIN want USING (n, gram)""",
+    "p10_found": """
+WITH win AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 398), lambda i: md5_number(substring(text, i, 400)))) AS h
+  FROM documents WHERE length(text) >= 400)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM win a JOIN win b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
