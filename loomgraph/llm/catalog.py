@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import encoder, leakage, spans, splitter
+from loomgraph.llm import encoder, leakage, nearcode, spans, splitter
 from loomgraph.sources.tables import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcode.found(table(spark, folder, "extracted_function"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcode.groups(table(spark, folder, "extracted_function"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.oversized(table(spark, folder, "extracted_function"), table(spark, folder, "embedding_config"))
 
@@ -36,7 +44,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
 
 SQL = {
     "p7_found": """
