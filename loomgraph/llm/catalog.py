@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import encoder, leakage, nearcode, spans, splitter
+from loomgraph.llm import encoder, leakage, multiindex, nearcode, spans, splitter
 from loomgraph.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearcode.groups(table(spark, folder, "extracted_function"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return multiindex.pairs(multiindex.neighbours(table(spark, folder, "symbols")))
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multiindex.neighbours(table(spark, folder, "symbols"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.oversized(table(spark, folder, "extracted_function"), table(spark, folder, "embedding_config"))
 
@@ -44,9 +52,25 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_neighbours, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
+
+_P5 = """
+WITH latest AS (
+  SELECT id, embed_type, embedding::DOUBLE[] AS v FROM symbols
+  WHERE kind = 'interface' AND embed_type IN ('explicit_code', 'summary_pointer') AND len(embedding) = 384
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1),
+scored AS (
+  SELECT a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+  FROM latest a JOIN latest b ON a.embed_type = b.embed_type AND a.id <> b.id),
+near AS (
+  SELECT id, neighbour, similarity, (row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour))::INTEGER AS rank
+  FROM scored WHERE similarity >= 0.6 QUALIFY rank <= 5)
+"""
 
 SQL = {
+    "p5_found": _P5 + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM near",
+    "p5_neighbours": _P5 + "SELECT * FROM near",
     "p7_found": """
 SELECT DISTINCT f.fn_id FROM extracted_function f
 LEFT JOIN (SELECT workspace, min(token_limit) AS token_limit FROM embedding_config GROUP BY 1) c USING (workspace)
