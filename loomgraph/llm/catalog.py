@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import docpairs, encoder, leakage, multiindex, nearcode, spans, splitter
+from loomgraph.llm import docpairs, encoder, handwritten, leakage, multiindex, nearcode, spans, splitter
 from loomgraph.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.found(table(spark, folder, "code_file"), table(spark, folder, "source_file"))
+
+
+def p1_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.verdicts(table(spark, folder, "code_file"), table(spark, folder, "source_file"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return docpairs.found(table(spark, folder, "source_file"), table(spark, folder, "extracted_function"))
 
@@ -60,7 +68,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_neighbours, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_verdicts, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_neighbours, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_shared)}
 
 _P5 = """
 WITH latest AS (
