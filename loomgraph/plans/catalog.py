@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import records
+from loomgraph.plans import records, retrieval
 
-FLAGSHIP = "p2_report"
-QUERIES = records.QUERIES
-SQL = records.SQL
+FLAGSHIP = "unified_search"
+QUERIES = records.QUERIES | retrieval.QUERIES
+SQL = records.SQL | retrieval.SQL
