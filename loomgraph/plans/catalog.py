@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import records, retrieval
+from loomgraph.plans import activity, records, retrieval
 
 FLAGSHIP = "unified_search"
-QUERIES = records.QUERIES | retrieval.QUERIES
-SQL = records.SQL | retrieval.SQL
+QUERIES = records.QUERIES | retrieval.QUERIES | activity.QUERIES
+SQL = records.SQL | retrieval.SQL | activity.SQL

@@ -12,7 +12,8 @@ from loomgraph.sources import model
 from loomgraph.sources.tables import table
 
 QUERY = "Frozen digest must  clamp the policy"
-NAME_PART = "Policy"
+NAME_PART = "new"
+PREFIX = "re"
 SYMBOL_VECTOR = "SELECT embedding::DOUBLE[] AS q FROM sym WHERE len(embedding) = 384 AND " + Q.FINITE.format("embedding") + " AND len(list_filter(embedding, lambda v: abs(v) > 1.1920929e-7)) > 0 ORDER BY id LIMIT 1"
 CONTENT_VECTOR = "SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1"
 ROOT = "SELECT dst FROM link WHERE edge_type = 'calls' AND dst IN (SELECT id FROM sym) GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1"
@@ -110,7 +111,7 @@ def symbols_page_per_kind(spark, folder) -> DataFrame:
 
 
 def symbols_loose_filter(spark, folder) -> DataFrame:
-    where = listing.symbol_filter(file_path="crates/none.rs", name=NAME_PART, loose=True)
+    where = listing.symbol_filter(file_path="crates/none.rs", name=PREFIX, loose=True)
     return listing.page(model.symbols(spark, folder), where, 500)
 
 
@@ -251,7 +252,7 @@ SQL = {
     "summary_truncate": f"WITH {Q.RECORD} SELECT id, {Q.summary('content')} AS summary FROM record",
     "symbols_page": f"WITH {Q.SYM} {_PAGE} sym WHERE {_HAS} ORDER BY name, id LIMIT 50 OFFSET 10",
     "symbols_page_per_kind": f"WITH {Q.SYM} {_PAGE} (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS n FROM sym WHERE {_HAS}) WHERE n > 5 AND n <= 25",
-    "symbols_loose_filter": f"WITH {Q.SYM} {_PAGE} sym WHERE starts_with(name, '{NAME_PART}') ORDER BY name, id LIMIT 500",
+    "symbols_loose_filter": f"WITH {Q.SYM} {_PAGE} sym WHERE starts_with(name, '{PREFIX}') ORDER BY name, id LIMIT 500",
     "symbols_total": f"WITH {Q.SYM} SELECT count(*) AS total_count, 50 < count(*) AS has_more FROM sym WHERE kind = 'function' AND {_HAS}",
     "symbols_by_name": f"WITH {Q.SYM} SELECT id, kind, name, file_path FROM sym WHERE name = 'new'",
     "symbols_of_files": f"WITH {Q.SYM} SELECT file_path, line_start, line_end, 'L' || line_start || '-L' || line_end AS lines, id, name FROM sym WHERE kind = 'function'",
