@@ -35,7 +35,7 @@ _RUST = re.compile(
 _SCRIPT = re.compile(
     r"""(?P<comment>//[^\n]*)
     |(?P<block>/\*)
-    |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[(,=:\[!&|?{};])\s*/(?![*/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
+    |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?:(?<=[(,=:\[!&|?{};])|(?<=return))\s*/(?![*/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
     |(?P<head>\bfunction\b\s*\*?\s*(?P<name>[\w$]+)\s*(?=[<(])
       |^[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly)[ \t]+)*\*?(?P<method>(?!(?:if|for|while|switch|catch|function|return|await|throw|new|typeof|super|constructor|with|do|else|yield|delete|void)\b)[A-Za-z_$\#][\w$]*)(?=\([^;{}=]*\)[^;{}()=]*\{[ \t]*$)
       |\b(?:const|let|var)\s+(?P<arrow>[\w$]+)(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?=\([^;{}=]*\)[^;{}()=]*=>\s*\{))

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.words import LETTERS_DIGITS, flat_words, grams
 from loomgraph.session import stage
 
-SEED = 6
+SEED = 5
 RUN = 12
+#: A gram that occurs at most so often in the corpus seeds alignments with windows of which only part is there.
+RARE = 12
 BITMAP_BITS = 22
 #: An alignment counts as an edited copy from this share of the item's words up.
 EDITED = 0.6
@@ -100,8 +102,7 @@ def seeds(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     inside = windows.select("item_id", "window", "wide", F.explode(F.sequence(F.col("window"), F.col("window") + F.col("wide") - 1)).alias("pos"))
     whole = inside.join(ranked, ["item_id", "pos"]).groupBy("item_id", "window", "wide").agg(F.count("*").alias("n"), F.min(F.struct("freq", "gram", "size")).alias("best"))
     chosen = whole.where("n = wide").select("item_id", "best.gram", "best.size").distinct()
-    # Windows of which only part is in the corpus can be edited copies: their rarest part seeds the alignment too, if it is rare.
-    edited = whole.where(f"n < wide and best.freq <= {RUN}").select("item_id", "best.gram", "best.size").distinct()
+    edited = whole.where(f"n < wide and best.freq <= {RARE}").select("item_id", "best.gram", "best.size").distinct()
     pairs = real.join(chosen.union(edited).distinct(), ["gram", "size"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     return pairs, texts
 
@@ -152,7 +153,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     score is the Smith-Waterman score over words (match 1, mismatch and gap -1), longest_run the longest run of
     successive equal words, item_end and doc_end where the best alignment ends. Rows are put out from a run of RUN
-    words, or of all words of a shorter item, or a score of EDITED of the item's words. Words are longest runs of letters and
+    words, or of all words of a shorter item, or a score of EDITED of the item's words; edited copies that
+    share no gram of SEED words which is rare in the corpus are not looked for. Words are longest runs of letters and
     digits without regard to case. Null and empty texts, and texts without words, have no rows; repeated rows count
     once; empty tables give no rows.
     """
