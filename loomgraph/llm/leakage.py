@@ -24,8 +24,8 @@ from loomgraph.session import stage
 
 SEED = 5
 RUN = 12
-#: A gram that occurs at most so often in the corpus seeds alignments with windows of which only part is there.
-RARE = 12
+#: A gram that occurs at most so often in the corpus seeds an alignment wherever it stands.
+RARE = 32
 BITMAP_BITS = 22
 #: An alignment counts as an edited copy from this share of the item's words up.
 EDITED = 0.6
@@ -102,8 +102,8 @@ def seeds(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     inside = windows.select("item_id", "window", "wide", F.explode(F.sequence(F.col("window"), F.col("window") + F.col("wide") - 1)).alias("pos"))
     whole = inside.join(ranked, ["item_id", "pos"]).groupBy("item_id", "window", "wide").agg(F.count("*").alias("n"), F.min(F.struct("freq", "gram", "size")).alias("best"))
     chosen = whole.where("n = wide").select("item_id", "best.gram", "best.size").distinct()
-    edited = whole.where(f"n < wide and best.freq <= {RARE}").select("item_id", "best.gram", "best.size").distinct()
-    pairs = real.join(chosen.union(edited).distinct(), ["gram", "size"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    rare = ranked.where(F.col("freq") <= RARE).select("item_id", "gram", "size")
+    pairs = real.join(chosen.union(rare).distinct(), ["gram", "size"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     return pairs, texts
 
 
