@@ -1,15 +1,16 @@
 """Long exact spans shared between texts, found through a log-structured fingerprint index.
 
 Equal texts are one text with several owners. A text's fingerprints are the winnowed hashes of its K-character
-windows: of every SPAN - K + 1 successive ones the smallest stays, so two texts that share SPAN characters share a
-fingerprint taken from that stretch. The index holds them as immutable runs, bucketed and sorted by fingerprint. A
-new batch becomes a sorted run of its own, is merge-joined with each older run, and runs of like size are compacted
-into one, so history is read by merges and rewritten a logarithmic number of times.
-
-A hit says that K characters are shared. Before pairs are made, each hit place is widened: a stretch of SPAN
-characters around it reaches at least i/Q of the slack to the left or (Q-1-i)/Q to the right for some i, so the Q
-windows of SPAN - slack/Q characters are the keys to pair by; what is common but shorter than that makes no pair. Keys
-with the same owners are one key. The pairs left are verified on the texts themselves, window by window.
+windows: of every SPAN - K + 1 successive ones the smallest stay, so two texts that share SPAN characters share a
+fingerprint taken from that stretch. Such a stretch reaches at least i/Q of the slack to the left of it or (Q-1-i)/Q to
+the right for some i, so what is indexed are the Q wider windows around each fingerprint, by their hashes. They are all
+made in the one pass that reads the texts, and the text itself is moved only for verification.
+
+The index holds the keys as immutable runs, bucketed and sorted by key. A new batch becomes a sorted run of its own, is
+merge-joined with each older run, and runs of like size are compacted into one, so history is read by merges and
+rewritten a logarithmic number of times. Keys with the same owners are one key. Where more than CROWD texts own a key, what they
+have in common may still be short of SPAN: these are keyed anew by all whole windows of SPAN characters around it, so that no
+crowd is paired for less. The pairs left are verified on the texts, window by window.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ from loomgraph.session import shared_dir, stage, tasks
 
 SPAN = 400
 K = 200
-Q = 8
+Q = 2
+#: Owners of a key from which on it is split by whole windows before pairs are made.
+CROWD = 100
+#: Characters worked on at a time; longer texts are read in overlapping parts.
+CHUNK = 400_000
 #: A run is merged with the one before it once it has at least 1 / GROWTH of its rows.
 GROWTH = 2
 
@@ -66,77 +71,121 @@ class Windows:
         return mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
 
 
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every `width` successive values."""
+    m = len(values) - width + 1
+    blocks = np.r_[values, np.full(-len(values) % width, values[-1], np.uint64)].reshape(-1, width)
+    ahead = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = best.accumulate(blocks, axis=1).ravel()
+    return best(ahead[:m], behind[width - 1 : width - 1 + m])
+
+
 def winnow(h: np.ndarray, width: int) -> np.ndarray:
-    """Places i that hold the rightmost smallest value of some `width` successive values of h; h no shorter than width."""
-    m = len(h) - width + 1
-    if m <= 0:
+    """Places whose value is the least of some `width` successive ones; none where h is shorter.
+
+    A place is one if the greatest of the least values of the windows around it is its own. All equal values of a window are
+    chosen, so that the choice depends on the text alone, not on where it stands."""
+    if len(h) < width:
         return np.zeros(0, np.int64)
-    pad = -len(h) % width
-    full = np.r_[h, np.full(pad, np.iinfo(np.uint64).max, np.uint64)].reshape(-1, width)
-    ahead = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(full, axis=1).ravel()
-    least = np.minimum(ahead[:m], behind[width - 1 : width - 1 + m])
-    # the last place of each window's minimum: candidates are places that equal a window's least value
-    change = np.r_[True, least[1:] != least[:-1]]
-    values = np.unique(least[change])
-    at = np.flatnonzero(np.isin(h, values))
-    order = np.lexsort((at, h[at]))
-    at = at[order]
-    v = h[at]
-    first_of = np.searchsorted(v, least, side="left")
-    # within the sorted places of its value, the last one not beyond the window's end
-    span = np.int64(len(h) + 1)
-    group = np.r_[0, np.cumsum(v[1:] != v[:-1])]
-    keys = group.astype(np.int64) * span + at
-    ends = np.arange(m, dtype=np.int64) + width - 1
-    last = np.searchsorted(keys, group[first_of] * span + ends, side="right") - 1
-    return np.unique(at[last])
-
-
-def fingerprints(text: str) -> tuple[Windows, np.ndarray, np.ndarray]:
-    """The windows of a text, and place and hash of its fingerprints; none below SPAN characters."""
-    w = Windows(text)
-    h = w.hashes(K)
-    at = winnow(h, SPAN - K + 1)
-    return w, at, h[at]
+    least = _sliding(h, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.r_[edge, least, edge], width, np.maximum) == h)
+
+
+def parts(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts of SPAN characters and more in chunks of about CHUNK: (joined text, where each begins, the number of each).
+    A longer text comes in parts that overlap by SPAN, so that no stretch of SPAN characters is cut."""
+    held: list[str] = []
+    who: list[int] = []
+    size = 0
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - SPAN), CHUNK):
+            piece = t[at : at + CHUNK + SPAN]
+            if len(piece) < SPAN:
+                continue
+            if held and size + len(piece) > CHUNK:
+                yield "".join(held), np.cumsum([0, *map(len, held)]), np.asarray(who)
+                held, who, size = [], [], 0
+            held.append(piece)
+            who.append(k)
+            size += len(piece)
+    if held:
+        yield "".join(held), np.cumsum([0, *map(len, held)]), np.asarray(who)
+
+
+def _unique(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, who))
+    key, who = key[order], who[order]
+    first = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])] if len(key) else np.zeros(0, bool)
+    return key[first], who[first]
+
+
+def index_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of each text, and its number."""
+    slack = SPAN - K
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for text, begins, who in parts(texts):
+        w = Windows(text)
+        h = w.hashes(K)
+        begin = np.repeat(begins[:-1], np.diff(begins))[: len(h)]
+        end = np.repeat(begins[1:], np.diff(begins))[: len(h)]
+        place = np.arange(len(h))
+        h[place + K > end] = np.iinfo(np.uint64).max  # windows that reach into the next text are never chosen
+        at = winnow(h, slack + 1)
+        at = at[h[at] != np.iinfo(np.uint64).max]
+        text_of = who[np.searchsorted(begins, at, side="right") - 1]
+        for i in range(Q):
+            left, right = slack * i // Q, slack * (Q - 1 - i) // Q
+            ok = (at - left >= begin[at]) & (at + K + right <= end[at])
+            keys.append(w.hashes(K + left + right, at[ok] - left))
+            owner.append(text_of[ok])
+    return _unique(np.concatenate(keys), np.concatenate(owner))
+
+
+def whole_windows(text: str, wanted: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the windows of SPAN characters that hold a window whose key is wanted."""
+    w, out = Windows(text), []
+    slack = SPAN - K
+    for left, right in {(slack * i // Q, slack * (Q - 1 - i) // Q) for i in range(Q)}:
+        size = K + left + right
+        at = np.flatnonzero(np.isin(w.hashes(size), wanted))
+        mark = np.zeros(len(w.code) + 1, np.int64)  # a window at s holds one at p if p + size - SPAN <= s <= p
+        np.add.at(mark, np.maximum(at + size - SPAN, 0), 1)
+        np.add.at(mark, at + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark) > 0)
+        out.append(w.hashes(SPAN, starts[starts + SPAN <= len(w.code)]))
+    return np.unique(np.concatenate(out))
+
+
+def _rows(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    names = ["key", "doc", "new"][: 2 + len(more)]
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), *map(pa.array, more)], names)
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, new = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-        fps, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, text in enumerate(b.column(2).to_pylist()):
-            fp = np.unique(fingerprints(text)[2])
-            fps.append(fp)
-            owner.append(np.full(len(fp), k))
-        who = np.concatenate(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(ids[who]), pa.array(new[who])], ["fp", "doc", "new"])
+        ids = np.asarray(b.column(0))
+        for s in range(0, b.num_rows, 2000):
+            keys, who = index_keys(b.column(1).slice(s, 2000).to_pylist())
+            yield _rows(keys, ids[s:][who])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slack = SPAN - K
-    steps = [(slack * i // Q, slack * (Q - 1 - i) // Q) for i in range(Q)]
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, new = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
         keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, (hits, text) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
-            w, at, fp = fingerprints(text)
-            at = at[np.isin(fp, np.asarray(hits.values).view(np.uint64))]
-            mine = []
-            for left, right in steps:
-                s = at[(at >= left) & (at + K + right <= len(w.code))] - left
-                mine.append(w.hashes(K + left + right, s))
-            own = np.unique(np.concatenate(mine))
+        for k, (wanted, text) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
+            own = whole_windows(text, np.asarray(wanted.values).view(np.uint64))
             keys.append(own)
             owner.append(np.full(len(own), k))
         who = np.concatenate(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[who]), pa.array(new[who])], ["key", "doc", "new"])
+        yield _rows(np.concatenate(keys), ids[who], new[who])
 
 
-def shared_spans(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The stretches (begin, end) of a that stand in b in pieces of SPAN or more equal characters, and those of b that stand in a."""
-    wa, wb = Windows(a), Windows(b)
-    ha, hb = wa.hashes(SPAN), wb.hashes(SPAN)
+def shared_spans(a: str, b: str, ha: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The stretches (begin, end) of a that stand in b in pieces of SPAN or more equal characters, and those of b that stand in a.
+    ha: the hashes of a's windows, if they are at hand."""
+    ha, hb = Windows(a).hashes(SPAN) if ha is None else ha, Windows(b).hashes(SPAN)
     ia, ib = np.flatnonzero(np.isin(ha, hb)), np.flatnonzero(np.isin(hb, ha))
     if len(ia):  # the hashes name the place, the characters decide
         j = int(ib[np.flatnonzero(hb[ib] == ha[ia[0]])[0]])
@@ -160,16 +209,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     for b in batches:
         rows: list[list] = [[], [], [], []]
+        last, held = None, None
         for x, y, s, t in zip(*(c.to_pylist() for c in b.columns)):
-            own, theirs = shared_spans(s, t)
+            if x != last:
+                last, held = x, Windows(s).hashes(SPAN)
+            own, theirs = shared_spans(s, t, held)
             if own:
                 for column, v in zip(rows, (x, y, [{"begin": p, "end": q} for p, q in own], [{"begin": p, "end": q} for p, q in theirs])):
                     column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], kind), pa.array(rows[3], kind)], ["a", "b", "spans_a", "spans_b"])
 
 
+def _alike(keyed: DataFrame) -> DataFrame:
+    """(key, n): of the keys that several texts own, one of them of the batch, one for each set of owners."""
+    mark = F.xxhash64("doc")
+    sums = [F.sum(F.shiftright(mark, 28)).alias("s1"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 28)).alias("s2")]
+    owned = keyed.groupBy("key").agg(F.count("*").alias("n"), *sums, F.max("new").alias("fresh")).where("n > 1 and fresh")
+    return owned.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
+
+
 class FingerprintIndex:
-    """Sorted runs of fingerprints in the shared folder; add() compares a batch with all of them and with itself."""
+    """Sorted runs of keys in the shared folder; add() compares a batch with all of them and with itself."""
 
     def __init__(self, spark: SparkSession, corpus: DataFrame):
         """corpus: (doc, text), doc unique, of all batches, read again where texts are verified."""
@@ -183,72 +243,76 @@ class FingerprintIndex:
         self.written += 1
         name = f"{self.name}_{self.written}"
         path = f"{shared_dir(self.spark)}/loomgraph-{self.spark.sparkContext.applicationId}/{name}"
-        (
-            rows.repartition(self.buckets, "fp")
-            .sortWithinPartitions("fp")
-            .write.bucketBy(self.buckets, "fp")
-            .sortBy("fp")
-            .option("path", path)
-            .option("compression", "zstd")
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        sorted_rows = rows.repartition(self.buckets, "key").sortWithinPartitions("key")
+        sorted_rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         run = self.spark.table(name)
         return run, run.count()
 
+    def _texts(self, docs: DataFrame) -> DataFrame:
+        """The texts of the given docs; their list is written first, so that its size decides how it is joined."""
+        return self.corpus.join(stage(docs.select("doc").distinct(), "docs"), "doc", "left_semi")
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Verified pairs (a, b, spans_a, spans_b), a < b, of which at least one text is of the batch."""
-        marked = batch.select("doc", F.lit(True).alias("new"), "text").where(F.length("text") >= SPAN)
-        run, rows = self._write(marked.mapInArrow(_printed, "fp long, doc long, new boolean").select("fp", "doc"))
-        asked = run.select("fp").distinct()
+        run, rows = self._write(batch.select("doc", "text").where(F.length("text") >= SPAN).mapInArrow(_printed, "key long, doc long"))
+        # Runs are bucketed and sorted by key: neither the grouping of one nor the merge of two moves a row.
+        several = run.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
+        for old, _ in self.runs:
+            several = several.unionByName(run.hint("merge").join(old.select("key"), "key", "left_semi").select("key"))
+        several = stage(several.distinct(), "several")
         hits = run.withColumn("new", F.lit(True))
         for old, _ in self.runs:
-            hits = hits.unionByName(old.join(asked.hint("merge"), "fp", "left_semi").withColumn("new", F.lit(False)))
-        common = hits.groupBy("fp").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("fp")
-        owned = hits.join(common, "fp").groupBy("doc", "new").agg(F.collect_list("fp").alias("hits"))
-        keyed = stage(owned.join(self.corpus, "doc").select("doc", "new", "hits", "text").mapInArrow(_keyed, "key long, doc long, new boolean"), "keys")
-        mark = F.xxhash64("doc")
-        alike = (
-            keyed.groupBy("key")
-            .agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 28)).alias("s1"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 28)).alias("s2"), F.max("new").alias("fresh"))
-            .where("n > 1 and fresh")
-            .groupBy("n", "s1", "s2")
-            .agg(F.min("key").alias("key"))
-            .select("key")
-        )
-        kept = stage(keyed.join(alike, "key"), "kept")
-        left = kept.select("key", F.col("doc").alias("a"), F.col("new").alias("new_a"))
-        right = kept.select("key", F.col("doc").alias("b"), F.col("new").alias("new_b"))
-        pairs = left.join(right, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
-        texts = self.corpus
-        wide = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-        found = stage(wide.select("a", "b", "ta", "tb").mapInArrow(_verified, _PAIR), "spans")
+            hits = hits.unionByName(old.withColumn("new", F.lit(False)))
+        keyed = stage(hits.join(several, "key"), "keyed")
+        alike = stage(_alike(keyed), "alike")
+        pairs = self._pairs(keyed.join(alike.where(F.col("n") <= CROWD).select("key"), "key"))
+        crowds = stage(keyed.join(alike.where(F.col("n") > CROWD).select("key"), "key"), "crowds")
+        if not crowds.isEmpty():
+            wanted = crowds.groupBy("doc", "new").agg(F.collect_list("key").alias("wanted"))
+            wide = wanted.join(self._texts(crowds), "doc").select("doc", "new", "wanted", "text")
+            exact = stage(wide.mapInArrow(_widened, "key long, doc long, new boolean"), "exact")
+            pairs = pairs.unionByName(self._pairs(exact.join(_alike(exact).select("key"), "key"))).distinct()
+        found = self._verify(stage(pairs, "pairs"))
         self.runs.append((run, rows))
-        while len(self.runs) > 1 and self.runs[-1][1] * GROWTH >= self.runs[-2][1] and len(self.runs) > 2:
+        while len(self.runs) > 2 and self.runs[-1][1] * GROWTH >= self.runs[-2][1]:
             (x, _), (y, _) = self.runs.pop(), self.runs.pop()
             self.runs.append(self._write(x.unionByName(y)))
         return found
 
+    def _pairs(self, kept: DataFrame) -> DataFrame:
+        """(a, b) of the owners of each key, once."""
+        left = kept.select("key", F.col("doc").alias("a"), F.col("new").alias("new_a"))
+        right = kept.select("key", F.col("doc").alias("b"), F.col("new").alias("new_b"))
+        return left.join(right, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        texts = stage(self._texts(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))), "texts")
+        right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+        left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
+        wide = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+        return stage(wide.mapInArrow(_verified, _PAIR), "spans")
+
 
 def owners(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc, when): each document and the smallest id that has the same text, for texts of SPAN characters or more."""
-    rows = documents.select("doc_id", "ingested_at", "text").where(F.length("text") >= SPAN).where("doc_id is not null")
-    slim = rows.select("doc_id", "ingested_at", F.sha2("text", 256).alias("same"))
-    first = slim.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min("ingested_at").alias("when"))
-    return slim.select("doc_id", "same").distinct().join(first, "same").select("doc_id", "doc", "when")
+    """(doc_id, doc): each document and the smallest id that has the same text, for texts of SPAN characters or more."""
+    slim = documents.where(F.length("text") >= SPAN).where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("same")).groupBy("doc_id").agg(F.min("same").alias("same"))
+    first = slim.groupBy("same").agg(F.min("doc_id").alias("doc"))
+    return slim.join(first, "same").select("doc_id", "doc")
 
 
 def _spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, doc, when), and verified pairs of distinct texts; the earlier half of the corpus goes into
-    the index first, the later half is compared as the next batch."""
-    spark = documents.sparkSession
+    """Members (doc_id, doc), and verified pairs of distinct texts; the earlier half of the corpus goes into the index
+    first, the later half is compared as the next batch. Only keys are moved, not texts, as long as the list of copies is short."""
     members = stage(owners(documents), "owners")
-    whole = members.where("doc_id = doc").join(documents.select("doc_id", "text"), "doc_id").select("doc", "when", "text").dropDuplicates(["doc"])
-    corpus = stage(whole, "texts")
-    middle = corpus.agg(F.percentile_approx(F.unix_micros(F.col("when").cast("timestamp")), 0.5)).first()[0]
-    later = F.coalesce(F.unix_micros(F.col("when").cast("timestamp")) > F.lit(middle), F.lit(False))
-    index = FingerprintIndex(spark, corpus.select("doc", "text"))
-    return members, index.add(corpus.where(~later)).unionByName(index.add(corpus.where(later)))
+    copies = stage(members.where("doc_id <> doc").select(F.col("doc_id").alias("doc")), "copies")
+    rows = documents.select(F.col("doc_id").alias("doc"), "text", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at")).where(F.length("text") >= SPAN).where("doc is not null")
+    if rows.count() > members.count():  # a doc_id stands there more than once
+        rows = rows.dropDuplicates(["doc"])
+    middle = documents.agg(F.percentile_approx(F.unix_micros(F.col("ingested_at").cast("timestamp")), 0.5)).first()[0]
+    later = F.coalesce(F.col("at") > F.lit(middle), F.lit(False))
+    index = FingerprintIndex(documents.sparkSession, rows.select("doc", "text"))
+    found = [index.add(rows.where(c).join(copies, "doc", "left_anti")) for c in (~later, later)]
+    return members, found[0].unionByName(found[1])
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -78,9 +78,29 @@ def test_winnow_guarantee():
     r = random.Random(3)
     for alphabet in ("abcdefghij", "ab", "a"):
         t = "".join(r.choice(alphabet) for _ in range(1200))
-        w, at, fp = s.fingerprints(t)
-        places = set(at.tolist())
-        assert all(any(p in places for p in range(a, a + s.SPAN - s.K + 1)) for a in range(len(t) - s.SPAN + 1))
+        h = s.Windows(t).hashes(s.K)
+        places = set(s.winnow(h, s.SPAN - s.K + 1).tolist())
+        want = {i for a in range(len(h) - s.SPAN + s.K) for i in range(a, a + s.SPAN - s.K + 1) if h[i] == h[a : a + s.SPAN - s.K + 1].min()}
+        assert places == want
         a = r.randint(100, 700)
-        assert set(s.fingerprints("Q" * 50 + t[a : a + s.SPAN] + "Z" * 50)[2].tolist()) & set(fp.tolist())
+        other = "Q" * 50 + t[a : a + s.SPAN] + "Z" * 50
+        keys, who = s.index_keys(["short", t, other])
+        assert set(keys[who == 1].tolist()) & set(keys[who == 2].tolist()) and not (who == 0).any()
     assert len(s.winnow(np.zeros(5, np.uint64), 9)) == 0
+
+
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(s, "CHUNK", 1000)
+    r = random.Random(4)
+    t = text(r, 5000)
+    for a in range(0, 4600, 97):
+        keys, who = s.index_keys([t, "Z" * 30 + t[a : a + 400] + "Y"])
+        assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+
+
+def test_whole_windows():
+    r = random.Random(5)
+    t = text(r, 1500)
+    w = s.Windows(t)
+    got = s.whole_windows(t, w.hashes(300, np.array([700])))
+    assert set(got.tolist()) == set(w.hashes(s.SPAN, np.arange(600, 701)).tolist())
