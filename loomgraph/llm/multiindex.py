@@ -6,8 +6,8 @@ one entry per first centroid, over occupied cells only, until VISIT vectors have
 exactly. Codebooks are fitted on a bounded sample (FIT_ROWS vectors) and grow with the collection; every vector is
 indexed. Equal vectors are one entry with its smallest ids: more than K + 1 of them can never be needed.
 
-Cells are grouped into blocks by their first centroid, and every task joins one block of entries with one slice of
-the queries that visit it. Only the best K + 1 of a query leave a block.
+Cells are grouped into blocks in the order of their first centroid, a cell too large for one is cut into several by its
+vectors' hashes, and every task joins one block of entries with one slice of the queries that visit it. Only the best K + 1 of a query leave a block.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import stage, tasks
+from loomgraph.session import stage
 
 DIMENSIONS = 384
 K = 5
 LEAST_SIMILARITY = 0.6
 TYPES = ("explicit_code", "summary_pointer")
-#: Rows the codebooks are fitted on, at most.
+#: Rows the codebooks are fitted on, about.
 FIT_ROWS = 8192
 FIT_ROUNDS = 6
 #: Entries a query is compared with, at least, as long as there are so many.
@@ -35,8 +35,9 @@ VISIT = 3000
 #: Entries per cell the number of centroids aims at, and the bounds of that number.
 PER_CELL = 6
 CENTROIDS = (4, 256)
-#: Entries of one block, about.
-BLOCK_ROWS = 40_000
+#: Entries of one block, and queries of one slice, about.
+BLOCK_ROWS = 12_000
+SLICE_ROWS = 24_000
 
 
 def usable(symbols: DataFrame, kind: str = "interface") -> DataFrame:
@@ -108,8 +109,12 @@ def traverse(d1: np.ndarray, d2: np.ndarray, rows: list[np.ndarray], sizes: np.n
     return cells
 
 
-def _entries(vectors: DataFrame, books, width: int) -> DataFrame:
-    """(kind, cell, same, ids, vec): each partition's distinct vectors with their K + 1 smallest ids."""
+_INDEXED = "id string, embed_type string, same binary, cell int, ids array<string>, vec binary"
+
+
+def _indexed(vectors: DataFrame, books, width: int) -> DataFrame:
+    """One row per id with its vector's digest; of each partition's equal vectors the first row also has cell, vector and
+    their K + 1 smallest ids, and stands for all of them in the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
@@ -122,13 +127,35 @@ def _entries(vectors: DataFrame, books, width: int) -> DataFrame:
             found: dict[tuple[str, bytes], tuple[int, list[str]]] = {}
             for k, (i, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 found.setdefault((kind, raw[k].tobytes()), (k, []))[1].append(i)
-            at = [k for k, _ in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind for kind, _ in found]), pa.array(cell[at].astype(np.int32)), pa.array([sorted(set(ids))[: K + 1] for _, ids in found.values()], pa.list_(pa.string())), pa.array([v for _, v in found], pa.binary())],
-                ["embed_type", "cell", "ids", "vec"],
-            )
-
-    return vectors.select("id", "embed_type", "embedding").mapInArrow(run, "embed_type string, cell int, ids array<string>, vec binary")
+            vec: list[bytes | None] = [None] * b.num_rows
+            ids: list[list[str] | None] = [None] * b.num_rows
+            for (_, v), (k, own) in found.items():
+                vec[k], ids[k] = v, sorted(set(own))[: K + 1]
+            columns = [b.column(0), b.column(1), pa.array(_digest([r.tobytes() for r in raw]), pa.binary()), pa.array(cell.astype(np.int32)), pa.array(ids, pa.list_(pa.string())), pa.array(vec, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _INDEXED.split(", ")])
+
+    return vectors.select("id", "embed_type", "embedding").mapInArrow(run, _INDEXED)
+
+
+def blocks(size: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """By type and cell: its first block, and over how many it is spread. Neighbouring cells share a block of up to BLOCK_ROWS
+    entries; a larger cell has blocks of its own."""
+    first, lanes = {}, {}
+    for t, counts in size.items():
+        flat = counts.ravel()
+        begin, wide = np.zeros(len(flat), np.int32), np.ones(len(flat), np.int32)
+        block, fill = 0, 0
+        for c in np.flatnonzero(flat).tolist():
+            n = int(flat[c])
+            if fill and fill + n > BLOCK_ROWS:
+                block, fill = block + 1, 0
+            begin[c], wide[c] = block, -(-n // BLOCK_ROWS)
+            if n > BLOCK_ROWS:
+                block, fill = block + int(wide[c]), 0
+            else:
+                fill += n
+        first[t], lanes[t] = begin, wide
+    return first, lanes
 
 
 def _best(ids: list[list[str]], sims: np.ndarray) -> list[tuple[str, float]]:
@@ -208,35 +235,35 @@ def neighbours(symbols: DataFrame, kind: str = "interface") -> DataFrame:
     spark = symbols.sparkSession
     rows = usable(symbols, kind)
     newest = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), F.xxhash64("embedding", "embed_type").alias("h"))).alias("n"), F.count("*").alias("times"))
-    doubled = newest.where("times > 1").select("id", F.col("n.t").alias("t"), F.col("n.h").alias("h"))
+    doubled = stage(newest.where("times > 1").select("id", F.col("n.t").alias("t"), F.col("n.h").alias("h")), "doubled")
     # Only ids that stand there more than once need a choice; the vectors of the others are not moved for it.
     kept = rows.join(doubled, "id", "left").where("h is null or (h = xxhash64(embedding, embed_type) and t = coalesce(loaded_at, cast('0001-01-01' as timestamp_ntz)))")
     kept = kept.select("id", "embed_type", "embedding")
-    total = newest.count()
+    total = rows.count()
     schema = "id string, neighbour string, similarity double, rank int"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = kept.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("embedding").toArrow()  # at most FIT_ROWS vectors come to the driver
+    # About FIT_ROWS vectors, by a hash of their ids, come to the driver, whatever the collection.
+    drawn = kept.where(F.xxhash64("id") / float(1 << 63) < 2 * FIT_ROWS / total - 1) if total > FIT_ROWS else kept
+    sample = drawn.select("embedding").toArrow()
     x = unit(sample["embedding"].combine_chunks())
     width = int(np.clip(2 ** np.round(np.log2(max(1.0, (total / PER_CELL) ** 0.5))), *CENTROIDS))
     one, two = fit(x, width)
     width = max(len(one), len(two))
     books = spark.sparkContext.broadcast((one, two))
-    entries = stage(_entries(kept, books, width), "entries")
+    indexed = stage(_indexed(kept, books, width), "indexed")
+    entries = indexed.where("vec is not null").drop("id", "same")
     # One row per occupied cell and type, at most 2 x CENTROIDS[1]^2 whatever the collection.
     census = entries.groupBy("embed_type", "cell").agg(F.count("*").alias("n")).collect()
     size = {t: np.zeros((width, width), np.int64) for t in TYPES}
     for r in census:
         size[r.embed_type][r.cell // width, r.cell % width] = r.n
-    block = {}
-    for t in TYPES:
-        per_first = size[t].sum(1)
-        block[t] = np.cumsum(per_first) // BLOCK_ROWS if per_first.sum() > BLOCK_ROWS else np.zeros(width, np.int64)
-    plan = spark.sparkContext.broadcast((size, block))
-    slices = max(1, min(tasks(spark), -(-total // 8000)))
+    first, lanes = blocks(size)
+    plan = spark.sparkContext.broadcast((size, first, lanes))
+    slices = -(-total // SLICE_ROWS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, blocks = plan.value
+        sizes, begins, wide = plan.value
         c1, c2 = books.value
         listed = {t: [np.flatnonzero(r) for r in sizes[t]] for t in TYPES}
         for b in batches:
@@ -248,33 +275,25 @@ def neighbours(symbols: DataFrame, kind: str = "interface") -> DataFrame:
             out: list[list] = [[], [], [], []]
             for k, t in enumerate(b.column(0).to_pylist()):
                 cells = np.array(traverse(d1[k], d2[k], listed[t], sizes[t], VISIT), np.int32)
-                where = blocks[t][cells // width]
-                for w in np.unique(where).tolist():
-                    for column, v in zip(out, (t, w, cells[where == w], raw[k])):
-                        column.append(v)
+                where, several = begins[t][cells], wide[t][cells]
+                for lane in range(int(several.max(initial=0))):
+                    here = where + lane
+                    for w in np.unique(here[several > lane]).tolist():
+                        for column, v in zip(out, (t, w, cells[(here == w) & (several > lane)], raw[k])):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary())], ["embed_type", "block", "cells", "vec"])
 
     queries = entries.select("embed_type", "vec").mapInArrow(ask, "embed_type string, block int, cells array<int>, vec binary")
     queries = queries.withColumn("slice", F.pmod(F.xxhash64("vec"), F.lit(slices)).cast("int"))
-    block_of = spark.createDataFrame([(t, i, int(v)) for t in TYPES for i, v in enumerate(block[t])], "embed_type string, first int, block int")
-    held = entries.withColumn("first", F.floor(F.col("cell") / width).cast("int")).join(F.broadcast(block_of), ["embed_type", "first"])  # at most 2 x CENTROIDS[1] rows
+    taken = [(t, int(c), int(first[t][c]), int(lanes[t][c])) for t in TYPES for c in np.flatnonzero(size[t].ravel())]
+    block_of = spark.createDataFrame(taken, "embed_type string, cell int, begin int, lanes int")
+    held = entries.join(F.broadcast(block_of), ["embed_type", "cell"])  # a row per occupied cell, at most 2 x CENTROIDS[1]^2
+    held = held.withColumn("block", (F.col("begin") + F.pmod(F.xxhash64("vec"), F.col("lanes"))).cast("int"))
     held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("embed_type", "block", "slice", "cell", "ids", "vec")
     keys = ["embed_type", "block", "slice"]
     part = queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_joined, _OUT)
     part = stage(part, "near")
-    owner = kept.select("id", "embed_type", "embedding")
-    return _members(owner, part)
-
-
-def _members(owner: DataFrame, part: DataFrame) -> DataFrame:
-    """The ranked neighbours of each id from those of its vector."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = np.asarray(b.column(2).flatten(), np.float32).reshape(-1, DIMENSIONS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digest([r.tobytes() for r in raw]), pa.binary())], ["id", "embed_type", "same"])
-
-    ids = owner.mapInArrow(mark, "id string, embed_type string, same binary")
+    ids = indexed.select("id", "embed_type", "same")
     each = ids.join(part, ["embed_type", "same"]).select("id", F.explode("near").alias("n")).where("n.id <> id")
     ordered = each.select("id", F.col("n.id").alias("neighbour"), F.col("n.similarity").alias("similarity")).distinct()
     back = ordered.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "similarity")

@@ -54,6 +54,15 @@ def test_recall(spark, monkeypatch):
     assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.97 * len(got)
 
 
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_ROWS", 10)
+    first, lanes = m.blocks({"t": np.array([[4, 5, 0], [3, 25, 2]])})
+    assert first["t"].tolist() == [0, 0, 0, 1, 2, 5] and lanes["t"].tolist() == [1, 1, 1, 1, 3, 1]
+    rows = clustered(300)
+    rows += [(f"near{i:03d}", "interface", "explicit_code", rows[0][3] * (1 + i / 1000)) for i in range(60)]  # one crowded cell
+    assert found(spark, rows) == plain(rows)
+
+
 def test_traverse_in_order():
     r = np.random.default_rng(1)
     sizes = r.integers(0, 3, (12, 12))
