@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "loomgraph") -> SparkSession:
@@ -44,35 +46,44 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, so a lost executor
     costs nothing that was computed before. The files are removed when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df_or_path: str, spark: SparkSession) -> None:
-    """Remove a staged table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def app_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+    if (spark, path) not in _STAGED:
+        _STAGED.append((spark, path))
+    return path
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write df as a table bucketed and sorted by a key, to be joined by merges; it goes with the application."""
+    spark = df.sparkSession
+    rows = df.repartition(buckets, key).sortWithinPartitions(key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{app_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    _TABLES.append((spark, name))
+    return spark.table(name)
 
 
 def _clean() -> None:
+    for spark, name in _TABLES:
+        with suppress(Exception):  # the session may have been stopped
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _STAGED:
         try:
-            unstage(path, spark)
-        except Exception:  # the JVM has gone
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 atexit.register(_clean)
 
 
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes the optimiser expects df to read; used to size partitions, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a shuffle: the session's setting, at least `least`."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
