@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import mixed
-from loomgraph.session import shared_dir, stage, tasks
+from loomgraph.session import bucketed, stage, tasks
 
 SPAN = 400
 K = 200
@@ -241,11 +241,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> tuple[DataFrame, int]:
         self.written += 1
-        name = f"{self.name}_{self.written}"
-        path = f"{shared_dir(self.spark)}/loomgraph-{self.spark.sparkContext.applicationId}/{name}"
-        sorted_rows = rows.repartition(self.buckets, "key").sortWithinPartitions("key")
-        sorted_rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        run = self.spark.table(name)
+        run = bucketed(rows, f"{self.name}_{self.written}", "key", self.buckets)
         return run, run.count()
 
     def _texts(self, docs: DataFrame) -> DataFrame:
