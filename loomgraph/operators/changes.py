@@ -140,3 +140,14 @@ def sync_states(files: DataFrame, previous: DataFrame, languages: tuple[str, ...
         .otherwise("parse")
     )
     return files.join(old, "path", "left").select("path", status.alias("status"))
+
+
+def drop_edges_from(edges: DataFrame, edge_type: str, src: str) -> DataFrame:
+    """The edges without those of a type that leave a node."""
+    return edges.where(~F.coalesce((F.col("edge_type") == edge_type) & (F.col("src") == src), F.lit(False)))
+
+
+def drop_concerns_of(edges: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
+    """(edges that stay, one row with the number removed): the concerns links to a symbol go."""
+    hit = F.coalesce((F.col("edge_type") == "concerns") & (F.col("dst") == symbol), F.lit(False))
+    return edges.where(~hit), edges.agg(F.count_if(hit).alias("removed"))

@@ -115,3 +115,9 @@ def concerns_in_file(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def link_exists(edges: DataFrame, edge_type: str, src: str, dst: str) -> DataFrame:
     """One row, there: is there such a link?"""
     return edges.where((F.col("edge_type") == edge_type) & (F.col("src") == src) & (F.col("dst") == dst)).agg((F.count("*") > 0).alias("there"))
+
+
+def tasks_of_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(task, id) of the concerns links to the given ids (column id); ids without a table are left out."""
+    typed = ids.where(F.instr("id", ":") > 0).select("id").distinct()
+    return links(edges, ("concerns",)).select(F.col("src").alias("task"), F.col("dst").alias("id")).join(typed, "id", "left_semi").select("task", "id")

@@ -11,6 +11,9 @@ from loomgraph.sources.model import KINDS
 
 PAGE, PAGE_MOST = 50, 500
 
+# The fields of a brief record.
+BRIEF = ("id", "title", "status", "priority", "assignee")
+
 
 def kind_rank(column: str = "kind") -> Column:
     """Functions before classes before interfaces."""
@@ -80,3 +83,17 @@ def statistics(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFr
     for part in (kinds, edges.agg(F.count("*").alias("edges")), coverage(symbols)):
         out = out.join(part)  # one row each
     return out
+
+
+def project(df: DataFrame, fields: list[str] | None = None, brief: bool = False) -> DataFrame:
+    """df with the wanted fields that it has, in its own order; brief means BRIEF, nothing wanted means all."""
+    wanted = fields or (list(BRIEF) if brief else df.columns)
+    return df.select(*[c for c in df.columns if c in wanted])
+
+
+def response_counts(tool: Column, response: Column) -> Column:
+    """struct(symbols, results) a tool's JSON response holds, by the arrays the tool fills; 0 where there is none."""
+    size = lambda path: F.coalesce(F.json_array_length(F.get_json_object(response, path)), F.lit(0))
+    symbols = F.when(tool == "list_symbols", size("$.symbols")).when(tool == "map_code", size("$.neighbors") + F.when(F.get_json_object(response, "$.root").isNotNull(), 1).otherwise(0)).when(tool == "impact_analysis", size("$.code_neighborhood")).otherwise(0)
+    results = F.when(tool.isin("unified_search", "query_memory"), size("$.results")).when(tool == "query_graph", size("$.rows")).when(tool == "query_changes", size("$.commits")).otherwise(symbols)
+    return F.struct(symbols.alias("symbols"), results.alias("results"))

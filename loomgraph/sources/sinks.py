@@ -93,3 +93,24 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
         df.write.mode("overwrite").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def write_summary(summary: dict, path: str) -> None:
+    """Write a summary of a branch's usage as one JSON file."""
+    atomic_write(path, json.dumps(summary, indent=2, sort_keys=True, default=str))
+
+
+def write_documents(rows: DataFrame, folder: str, prefix: str = "backlog") -> int:
+    """Write each row as `prefix`-id.json, null fields omitted; returns the number. Rows are few: a file each is the format."""
+    n = 0
+    for r in rows.select("id", F.to_json(F.struct(*rows.columns)).alias("body")).toLocalIterator():
+        atomic_write(f"{folder}/{prefix}-{r.id}.json", r.body)
+        n += 1
+    return n
+
+
+def manifest(name: str, description: str | None, repository: str | None, branch: str | None, backlogs: DataFrame) -> dict:
+    """The project manifest: its names, and id and path of each backlog in order."""
+    rows = backlogs.select("id").orderBy("id").toLocalIterator()
+    out = {"name": name, "description": description, "repository_url": repository, "default_branch": branch, "backlogs": [{"id": r.id, "path": f"backlog-{r.id}.json"} for r in rows]}
+    return {k: v for k, v in out.items() if v is not None}
