@@ -61,18 +61,27 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1,
         step = step.withColumn("rank", edge_rank()).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
         step = stage(step.join(nodes.withColumnRenamed("id", "to"), "to", "left"), "level")
         known = step.where("kind is not null")
-        if most is not None:
-            if held + known.count() > most or (held >= most and not step.isEmpty()):
-                truncated = True
+        place = F.lit(0)
+        if most is None:
+            # Without a cap only levels are ordered, and a level needs no job besides the one that writes it.
+            if step.isEmpty():
+                break
+        else:
+            here = step.agg(F.count("*").alias("n"), F.count("kind").alias("known")).first()
+            truncated = held + here.known > most or (held >= most and here.n > 0)
+            place = F.row_number().over(W.orderBy(*order)) + held
             known = known.orderBy(*order).limit(max(0, most - held))
-        known = stage(known.withColumn("found", F.row_number().over(W.orderBy(*order)) + held) if most is not None else known.withColumn("found", F.lit(0)), "found")
+            held = min(most, held + here.known)
+            if not here.n:
+                break
+        known = known.withColumn("found", place)
         out.append(known.select(F.col("to").alias("id"), "kind", "name", "file_path", F.lit(level).alias("depth"), "edge_type", "src", "dst", "found"))
-        held += known.count()
-        if known.isEmpty() or (most is not None and held >= most and truncated):
+        if truncated:
             break
         seen.append(step.select("to"))
-        # Without a cap the order of discovery within a level is not needed, only that of levels.
         frontier = known.select(F.col("to").alias("at"), F.col("found").cast("long").alias("place"))
+    if not out:
+        out.append(spark.createDataFrame([], "id string, kind string, name string, file_path string, depth int, edge_type string, src string, dst string, found int"))
     return reduce(DataFrame.unionByName, out), truncated
 
 

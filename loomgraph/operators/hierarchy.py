@@ -17,7 +17,7 @@ from loomgraph.session import stage
 
 def key(c: Column | str) -> Column:
     """The comparison form of a hash: no letter case, no outer blanks."""
-    return F.lower(F.trim(c))
+    return F.lower(F.trim(c, F.lit(" \t\r\n")))
 
 
 def first_parents(commits: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def first_parents(commits: DataFrame) -> DataFrame:
 
     Rows without a hash are left out. Should rows of one hash disagree, the smallest parent counts.
     """
-    real = F.filter("parent_hashes", lambda p: p.isNotNull() & (F.trim(p) != ""))
+    real = F.filter("parent_hashes", lambda p: p.isNotNull() & p.rlike(r"\S"))
     parent = F.when(F.size(real) > 0, key(F.element_at(real, 1)))
     return (
         commits.select(key("hash").alias("node"), F.col("hash"), parent.alias("parent"))

@@ -30,7 +30,7 @@ def references(edges: DataFrame) -> DataFrame:
     return (
         edges.select("edge_id", "created_at", F.explode(ends).alias("e"))
         .select("edge_id", "e.ref_end", "e.ref_id", "created_at")
-        .where("ref_id is not null and trim(ref_id) <> ''")
+        .where(F.col("ref_id").rlike(r"\S"))
     )
 
 
