@@ -44,18 +44,22 @@ def resolve(links: DataFrame) -> DataFrame:
     up = links.join(links.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("up"))
     up = stage(up, "links")
     done = [stage(links.join(up.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).alias("depth")), "level")]
+    if up.isEmpty():
+        return done[0]
     stride, left = 1, up
-    while not left.isEmpty():
+    while True:
         frontier = done[0]
         for d in done[1:]:
             frontier = frontier.unionByName(d)
         f = frontier.select(F.col("node").alias("up"), F.col("root").alias("r"), F.col("depth").alias("d"))
         step = stage(left.join(f, "up", "left").select("node", "up", F.col("r").alias("root"), (F.col("d") + stride).alias("depth")), "step")
-        reached = step.where("root is not null").select("node", "root", "depth")
-        if reached.isEmpty():
+        n = step.agg(F.count("*").alias("all"), F.count("root").alias("reached")).first()
+        if not n.reached:
             done.append(step.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth")))
             break
-        done.append(reached)
+        done.append(step.where("root is not null").select("node", "root", "depth"))
+        if n.reached == n["all"]:
+            break
         rest = step.where("root is null").select("node", "up")
         # All that is left has an ancestor 2 x stride up, or the frontier would have reached it.
         left = stage(rest.join(left.select(F.col("node").alias("up"), F.col("up").alias("further")), "up").select("node", F.col("further").alias("up")), "left")
@@ -66,10 +70,15 @@ def resolve(links: DataFrame) -> DataFrame:
     return out
 
 
+def _resolved(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commits by node, and the root and depth of each."""
+    nodes = stage(first_parents(commits), "commits")
+    return nodes, resolve(nodes)
+
+
 def forest(commits: DataFrame) -> DataFrame:
     """hash, root_hash, depth of each commit, one row per commit; root_hash '' and depth -1 on lines that never end."""
-    nodes = stage(first_parents(commits), "commits")
-    found = resolve(nodes)
+    nodes, found = _resolved(commits)
     named = found.join(nodes.select("node", "hash"), "node")
     roots = nodes.select(F.col("node").alias("root"), F.col("hash").alias("root_hash"))
     return named.join(roots, "root", "left").select("hash", F.coalesce("root_hash", F.lit("")).alias("root_hash"), "depth")
@@ -81,8 +90,11 @@ def ancestors(commits: DataFrame) -> DataFrame:
     Seen from the ancestor these are all its descendants. Commits on lines that never end have none.
     Pairs stay rows, so that no node's descendants meet in one task.
     """
-    nodes = stage(first_parents(commits), "commits")
-    sound = resolve(nodes).where("depth > 0").select("node", "depth")
+    return _ancestors(*_resolved(commits))
+
+
+def _ancestors(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    sound = found.where("depth > 0").select("node", "depth")
     jump = stage(nodes.select("node", F.col("parent").alias("up")).join(sound, "node"), "jump")
     pairs = [jump.select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))]
     stride, deepest = 1, jump.agg(F.max("depth")).first()[0] or 0
@@ -111,9 +123,8 @@ def paths(commits: DataFrame) -> DataFrame:
 
     A path is as long as its commit is deep, whatever else is in the table.
     """
-    pairs = ancestors(commits)
-    nodes = first_parents(commits).select("hash")
-    above = pairs.groupBy("hash").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda x: x["ancestor"]).alias("above"))
-    sound = forest(commits).where("depth >= 0").select("hash")
+    nodes, found = _resolved(commits)
+    above = _ancestors(nodes, found).groupBy("hash").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda x: x["ancestor"]).alias("above"))
     own = F.array("hash")
-    return sound.join(nodes, "hash", "left_semi").join(above, "hash", "left").select("hash", F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own)).alias("path"))
+    sound = nodes.join(found.where("depth >= 0").select("node"), "node").select("hash")
+    return sound.join(above, "hash", "left").select("hash", F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own)).alias("path"))
