@@ -1,8 +1,8 @@
 """References to records that are not there: range-partitioned keys, sorted parent arrays, binary search.
 
-Keys are placed on a line by a 64-bit hash and cut into equal ranges, so ranges are even without sampling. A range
-that many references fall into (a hot id) is cut again into lanes, by the measured count; its parents, which are
-few, go to every lane. Each task gets one lane: the parents as sorted arrays, the references as one Arrow batch,
+Keys are placed on a line by a 64-bit hash and cut into equal ranges, so ranges are even without sampling; their
+number follows the number of references. A range that many references fall into (a hot id) is cut again into lanes, by
+the measured count; its parents, which are few, go to every lane. Each task gets one lane: the parents as sorted arrays, the references as one Arrow batch,
 probed with binary search. Only misses leave the task.
 """
 
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGE_BITS = 6
+#: Ranges are counted in 2^COUNT_BITS cells at most; that many rows come to the driver, whatever the input.
+COUNT_BITS = 16
+LEAST_BITS = 4
 LANE_ROWS = 150_000
 
 _FOREVER = np.iinfo(np.int64).max
@@ -96,7 +98,18 @@ def _probe(refs: pa.Table, known: pa.Table) -> pa.Table:
     )
 
 
-def orphans(edges: DataFrame, tables: Iterable[DataFrame], range_bits: int = RANGE_BITS, lane_rows: int = LANE_ROWS) -> DataFrame:
+def ranges(counts: dict[int, int], lane_rows: int) -> tuple[int, dict[int, int]]:
+    """The bits of a range number, and the lanes of the ranges that need more than one. counts: references by fine cell."""
+    total = sum(counts.values())
+    bits = min(COUNT_BITS, max(LEAST_BITS, (-(-total // lane_rows)).bit_length()))
+    held: dict[int, int] = {}
+    for cell, n in counts.items():
+        c = cell >> (COUNT_BITS - bits)
+        held[c] = held.get(c, 0) + n
+    return bits, {c: -(-n // lane_rows) for c, n in held.items() if n > lane_rows}
+
+
+def orphans(edges: DataFrame, tables: Iterable[DataFrame], lane_rows: int = LANE_ROWS) -> DataFrame:
     """References whose record is not there at the edge's time.
 
     edges needs edge_id, src, dst, created_at; each table id, loaded_at, deleted_at; other columns are ignored.
@@ -106,19 +119,19 @@ def orphans(edges: DataFrame, tables: Iterable[DataFrame], range_bits: int = RAN
     rows; empty tables make every reference `missing`.
     """
     spark = edges.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64("ref_id"), 64 - range_bits).cast("int")
-    refs = references(edges).withColumn("cell", cell)
-    # One row for each range: its lanes. The table has at most 2^range_bits rows, whatever the input.
-    counts = {r.cell: r.n for r in refs.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    lanes = [max(1, -(-counts.get(c, 0) // lane_rows)) for c in range(1 << range_bits)]
-    lane_count = F.element_at(F.array(*[F.lit(n) for n in lanes]), F.col("cell") + 1)
-    refs = refs.withColumn("lane", F.pmod(F.xxhash64("edge_id", "ref_end"), lane_count).cast("int"))
+    cell = lambda bits: F.shiftrightunsigned(F.xxhash64("ref_id"), 64 - bits).cast("int")
+    refs = references(edges)
+    bits, hot = ranges({r.cell: r.n for r in refs.groupBy(cell(COUNT_BITS).alias("cell")).agg(F.count("*").alias("n")).collect()}, lane_rows)
+    several = F.broadcast(spark.createDataFrame(list(hot.items()), "cell int, lanes int"))  # at most a row per range
+    lanes = F.coalesce("lanes", F.lit(1))
+    refs = refs.withColumn("cell", cell(bits)).join(several, "cell", "left").withColumn("lane", F.pmod(F.xxhash64("edge_id", "ref_end"), lanes).cast("int")).drop("lanes")
     known = (
         parents(tables)
         .withColumnRenamed("id", "ref_id")
-        .withColumn("cell", cell)
-        .withColumn("lane", F.explode(F.sequence(F.lit(0), lane_count - 1)))
-        .withColumnRenamed("ref_id", "id")
+        .withColumn("cell", cell(bits))
+        .join(several, "cell", "left")
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
+        .select(F.col("ref_id").alias("id"), "loaded_at", "deleted_at", "cell", "lane")
     )
     missed = (
         refs.groupBy("cell", "lane")

@@ -33,7 +33,14 @@ def test_states(spark):
         (9, "dst", "f", "2025-01", "late"), (9, "src", "f", "2025-01", "late"), (10, "src", "a", "2025-01", "missing"),
     ]
     assert found(spark, edges, parents) == want
-    assert found(spark, edges, parents, range_bits=1, lane_rows=2) == want  # hot ranges cut into lanes
+    assert found(spark, edges, parents, lane_rows=2) == want  # hot ranges cut into lanes
+
+
+def test_ranges():
+    assert orphans.ranges({}, 10) == (orphans.LEAST_BITS, {})
+    bits, lanes = orphans.ranges({0: 5, 1 << 15: 1000}, 10)
+    assert bits == 7 and lanes == {64: 100}
+    assert orphans.ranges(dict.fromkeys(range(1 << 16), 10**6), 10)[0] == orphans.COUNT_BITS
 
 
 def test_empty(spark):
