@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from contextlib import suppress
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
 _TABLES: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "loomgraph") -> SparkSession:
@@ -32,6 +35,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "lo
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, unless they are sure to find it where the driver did."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    on_path = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    at_home = sc.master.startswith("local[") and Path.cwd() == root
+    if (sc.master.startswith("local") and on_path) or at_home:
+        return
+    folder = tempfile.mkdtemp(prefix="loomgraph-code-")  # of the driver only; Spark serves it from there
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/loomgraph", "zip", root, "loomgraph"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -46,6 +65,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, so a lost executor
     costs nothing that was computed before. The files are removed when the application ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,6 +82,7 @@ def app_dir(spark: SparkSession) -> str:
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Write df as a table bucketed and sorted by a key, to be joined by merges; it goes with the application."""
     spark = df.sparkSession
+    ship(spark)
     rows = df.repartition(buckets, key).sortWithinPartitions(key)
     rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{app_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     _TABLES.append((spark, name))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder; `name`.parquet is a file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
