@@ -9,8 +9,9 @@ made in the one pass that reads the texts, and the text itself is moved only for
 The index holds the keys as immutable runs, bucketed and sorted by key. A new batch becomes a sorted run of its own, is
 merge-joined with each older run, and runs of like size are compacted into one, so history is read by merges and
 rewritten a logarithmic number of times. Keys with the same owners are one key. Where more than CROWD texts own a key, what they
-have in common may still be short of SPAN: these are keyed anew by all whole windows of SPAN characters around it, so that no
-crowd is paired for less. The pairs left are verified on the texts, window by window.
+have in common there may still be short of SPAN: these are keyed anew by all whole windows of SPAN characters around each such
+key, so that no crowd is paired for less, and only then keys with the same owners are one. The pairs left are verified on the
+texts, window by window.
 """
 
 from __future__ import annotations
@@ -220,12 +221,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], kind), pa.array(rows[3], kind)], ["a", "b", "spans_a", "spans_b"])
 
 
-def _alike(keyed: DataFrame) -> DataFrame:
-    """(key, n): of the keys that several texts own, one of them of the batch, one for each set of owners."""
+def _alike(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
+    """(key, n): of the keys that several texts own, one of them of the batch, one for each set of owners; but all keys of
+    a set of more than `crowd` owners, as each may stand for another stretch."""
     mark = F.xxhash64("doc")
     sums = [F.sum(F.shiftright(mark, 28)).alias("s1"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 28)).alias("s2")]
     owned = keyed.groupBy("key").agg(F.count("*").alias("n"), *sums, F.max("new").alias("fresh")).where("n > 1 and fresh")
-    return owned.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
+    alone = [F.when(F.col("n") > crowd, F.col("key")).alias("alone")] if crowd is not None else []
+    return owned.groupBy("n", "s1", "s2", *alone).agg(F.min("key").alias("key")).select("key", "n")
 
 
 class FingerprintIndex:
@@ -260,7 +263,7 @@ class FingerprintIndex:
         for old, _ in self.runs:
             hits = hits.unionByName(old.withColumn("new", F.lit(False)))
         keyed = stage(hits.join(several, "key"), "keyed")
-        alike = stage(_alike(keyed), "alike")
+        alike = stage(_alike(keyed, CROWD), "alike")
         pairs = self._pairs(keyed.join(alike.where(F.col("n") <= CROWD).select("key"), "key"))
         crowds = stage(keyed.join(alike.where(F.col("n") > CROWD).select("key"), "key"), "crowds")
         if not crowds.isEmpty():

@@ -56,6 +56,18 @@ def test_hot_stretch(spark):
     assert s.found(frame(spark, docs)).count() == 60 * 59 // 2
 
 
+def test_crowd_with_two_stretches(spark, monkeypatch):
+    """The same crowd shares a stretch that is too short and one that is not: whichever has the smaller key, all pairs are found."""
+    monkeypatch.setattr(s, "CROWD", 4)
+    r = random.Random(11)
+    docs = []
+    for group in range(8):
+        short, long = text(r, 390), text(r, 430)
+        docs += [(100 * group + i, text(r, 450) + short + text(r, 450) + long + text(r, 450)) for i in range(6)]
+    got = [tuple(x) for x in s.found(frame(spark, docs)).collect()]
+    assert len(got) == len(set(got)) == 8 * 15 and set(got) == plain(docs)
+
+
 def test_index_over_batches(spark):
     docs = [(i, t) for i, t in corpus(9) if i is not None and t]
     unique = {t: i for i, t in reversed(docs)}
