@@ -1,4 +1,4 @@
-"""Evaluation passages in a training corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation passages in a training corpus: n-gram seeds, then Smith-Waterman alignment.
 
 1. Items are cut into grams of SEED words (shorter items are one gram). A bitmap of fixed size over the gram hashes
    goes to all workers; whatever the number of items, it is 512 KB.
@@ -7,7 +7,10 @@
 3. Of each window of RUN successive item words, the rarest gram is a seed. A text that holds the window holds its
    seed, so no run of RUN words is lost; and a phrase that half the corpus shares is a seed only where a whole window
    of nothing rarer exists.
-4. Each pair of a document and an item that share a seed is aligned once, word by word, around the seeds.
+4. Edited copies may hold no whole window, and what is rare in the corpus says nothing of them: for these every gram
+   is a seed, however frequent.
+5. Each pair of a document and an item that share a seed is aligned once, word by word, around the seeds. Where no
+   window's seed is shared there is no run of RUN words, and pairs with fewer common words than a copy needs are left out.
 """
 
 from __future__ import annotations
@@ -24,8 +27,6 @@ from loomgraph.session import stage
 
 SEED = 5
 RUN = 12
-#: A gram that occurs at most so often in the corpus seeds an alignment wherever it stands.
-RARE = 32
 BITMAP_BITS = 22
 #: An alignment counts as an edited copy from this share of the item's words up.
 EDITED = 0.6
@@ -58,9 +59,9 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), "text").where(f"{key} is not null and text is not null and text <> ''").groupBy(key).agg(F.min("text").alias("text"))
 
 
-def seeds(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, item_id, first, last): document and item that share a seed, with the first and last word at which
-    one stands in the document; and the items (item_id, text)."""
+def seeds(documents: DataFrame, items: DataFrame, edited: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, item_id, first, last, whole): document and item that share a seed, with the first and last word at which
+    one stands in the document, and whether it is a window's; without `edited` only those; and the items (item_id, text)."""
     spark = documents.sparkSession
     texts = stage(_texts(items, "item_id"), "items")
     known = stage(texts.mapInArrow(_item_grams, "item_id long, gram long, pos int, size int"), "item_grams")
@@ -101,9 +102,11 @@ def seeds(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     inside = windows.select("item_id", "window", "wide", F.explode(F.sequence(F.col("window"), F.col("window") + F.col("wide") - 1)).alias("pos"))
     whole = inside.join(ranked, ["item_id", "pos"]).groupBy("item_id", "window", "wide").agg(F.count("*").alias("n"), F.min(F.struct("freq", "gram", "size")).alias("best"))
-    chosen = whole.where("n = wide").select("item_id", "best.gram", "best.size").distinct()
-    rare = ranked.where(F.col("freq") <= RARE).select("item_id", "gram", "size")
-    pairs = real.join(chosen.union(rare).distinct(), ["gram", "size"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    chosen = whole.where("n = wide").select("item_id", "best.gram", "best.size", F.lit(True).alias("whole"))
+    if edited:
+        chosen = chosen.union(ranked.select("item_id", "gram", "size", F.lit(False)))
+    chosen = chosen.groupBy("item_id", "gram", "size").agg(F.max("whole").alias("whole"))
+    pairs = real.join(chosen, ["gram", "size"]).groupBy("doc_id", "item_id").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("whole").alias("whole"))
     return pairs, texts
 
 
@@ -137,13 +140,18 @@ LEAK = "doc_id long, item_id long, score int, item_words int, longest_run int, i
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[list] = [[] for _ in range(7)]
-        for doc_id, item_id, first, last, text, passage in zip(*(c.to_pylist() for c in b.columns)):
-            words, ends = flat_words([text, passage], LETTERS_DIGITS, True)
-            doc, item = words[: ends[1]], words[ends[1] :]
-            low = max(0, first - 2 * len(item))
-            score, at, row, run = align(doc[low : last + SEED + 2 * len(item)], item)
-            for column, v in zip(rows, (doc_id, item_id, score, len(item), run, row, low + at)):
-                column.append(v)
+        for s in range(0, b.num_rows, 100):
+            doc_ids, item_ids, firsts, lasts, whole, docs, passages = (c.to_pylist() for c in b.slice(s, 100).columns)
+            words, ends = flat_words(docs + passages, LETTERS_DIGITS, True)
+            for k, (doc_id, item_id, first, last) in enumerate(zip(doc_ids, item_ids, firsts, lasts)):
+                doc, item = words[ends[k] : ends[k + 1]], words[ends[len(docs) + k] : ends[len(docs) + k + 1]]
+                low = max(0, first - 2 * len(item))
+                near = doc[low : last + SEED + 2 * len(item)]
+                if not whole[k] and np.isin(item, near).sum() < EDITED * len(item):  # the score is at most the common words
+                    continue
+                score, at, row, run = align(near, item)
+                for column, v in zip(rows, (doc_id, item_id, score, len(item), run, row, low + at)):
+                    column.append(v)
         kinds = [pa.int64()] * 2 + [pa.int32()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], [x.split(" ")[0] for x in LEAK.split(", ")])
 
@@ -154,18 +162,22 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     score is the Smith-Waterman score over words (match 1, mismatch and gap -1), longest_run the longest run of
     successive equal words, item_end and doc_end where the best alignment ends. Rows are put out from a run of RUN
     words, or of all words of a shorter item, or a score of EDITED of the item's words; edited copies that
-    share no gram of SEED words which is rare in the corpus are not looked for. Words are longest runs of letters and
+    share no gram of SEED successive words are not looked for. Words are longest runs of letters and
     digits without regard to case. Null and empty texts, and texts without words, have no rows; repeated rows count
     once; empty tables give no rows.
     """
-    pairs, texts = seeds(documents, items)
+    return _leaks(documents, items, True)
+
+
+def _leaks(documents: DataFrame, items: DataFrame, edited: bool) -> DataFrame:
+    pairs, texts = seeds(documents, items, edited)
     pairs = stage(pairs, "pairs")
     held = documents.select("doc_id", "text").where("text is not null").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     wide = pairs.join(held, "doc_id").join(texts.withColumnRenamed("text", "passage"), "item_id")
-    out = wide.select("doc_id", "item_id", "first", "last", "text", "passage").mapInArrow(_aligned, LEAK)
+    out = wide.select("doc_id", "item_id", "first", "last", "whole", "text", "passage").mapInArrow(_aligned, LEAK)
     return out.where(f"longest_run >= least({RUN}, item_words) or score >= {EDITED} * item_words")
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the alignment's longest run has RUN words, or all words of a shorter item."""
-    return leaks(documents, items).where(f"longest_run >= least({RUN}, item_words)").select("doc_id", "item_id")
+    return _leaks(documents, items, False).where(f"longest_run >= least({RUN}, item_words)").select("doc_id", "item_id")

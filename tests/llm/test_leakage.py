@@ -52,6 +52,18 @@ def test_edited_copy(spark):
     assert {r.doc_id for r in k.found(docs, items).collect()} == {3}
 
 
+def test_edited_copy_in_many(spark):
+    """A copy with a word changed in every 11 is found however many documents hold it, also beside a whole one."""
+    item = [f"t{i}" for i in range(60)]
+    edited = lambda d: " ".join(f"z{d}x{i}" if i % 11 == 10 else w for i, w in enumerate(item))
+    far = [(900, "u1 u2 t3 t4 t5 t6 t7 u3 u4"), (901, "nothing of the kind")]
+    for more in ([], [(500, " ".join(item))]):
+        docs = [(d, edited(d)) for d in range(40)] + more + far
+        got = {r.doc_id: r for r in k.leaks(*frames(spark, docs, [(1, " ".join(item))])).collect()}
+        assert set(got) == {d for d, _ in docs} - {900, 901} and got[0].score == 50 and got[0].longest_run == 10
+        assert {r.doc_id for r in k.found(*frames(spark, docs, [(1, " ".join(item))])).collect()} == {d for d, _ in more}
+
+
 def test_everywhere(spark):
     """A passage in every document: all are found, also where nothing in it is rare."""
     item = " ".join(f"t{i}" for i in range(20))
