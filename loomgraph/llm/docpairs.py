@@ -37,12 +37,17 @@ _SCRIPT = re.compile(
     |(?P<block>/\*)
     |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?:(?<=[(,=:\[!&|?{};])|(?<=return))\s*/(?![*/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
     |(?P<head>\bfunction\b\s*\*?\s*(?P<name>[\w$]+)\s*(?=[<(])
-      |^[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly)[ \t]+)*\*?(?P<method>(?!(?:if|for|while|switch|catch|function|return|await|throw|new|typeof|super|constructor|with|do|else|yield|delete|void)\b)[A-Za-z_$\#][\w$]*)(?=\([^;{}=]*\)[^;{}()=]*\{[ \t]*$)
-      |\b(?:const|let|var)\s+(?P<arrow>[\w$]+)(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?=\([^;{}=]*\)[^;{}()=]*=>\s*\{))
+      |^[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly)[ \t]+)*\*?(?P<method>(?!(?:if|for|while|switch|catch|function|return|await|throw|new|typeof|super|with|do|else|yield|void)\b)[A-Za-z_$\#][\w$]*)\s*(?=[<(])
+      |\b(?:const|let|var)\s+(?P<arrow>[\w$]+)(?:\s*:(?:[^=\n]|=>)+?)?\s*=(?![=>])\s*(?:async\b\s*)?(?=[<(]))
     |(?P<mark>[{}();])""",
     re.X | re.S | re.M,
 )
 
+_SCRIPT_ISLANDS = re.compile(_SCRIPT.pattern[: _SCRIPT.pattern.index("|(?P<head>")] + "|(?P<mark>[{}()])", re.X | re.S | re.M)
+_GAP = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", re.S)
+#: What ends in this, a type follows.
+_TYPE_NEXT = re.compile(r"(?:[:|&<,(\[?]|=>|\b(?:is|extends|keyof|readonly|new|asserts|infer))\s*$")
+
 _PYTHON = re.compile(
     r"""(?P<comment>\#[^\n]*)
     |(?P<string>[rRuUbBfF]{0,3}(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'))
@@ -91,6 +96,81 @@ def _attribute_end(text: str, at: int) -> int:
     return len(text)
 
 
+def _closings(text: str) -> dict[int, int]:
+    """The place of each script's brace or parenthesis that closes, by the place where it opens."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    braces = at = 0
+    while m := _SCRIPT_ISLANDS.search(text, at):
+        at = m.end()
+        if m.lastgroup == "block":
+            at = _block_end(text, m.start(), False)
+        elif m.lastgroup == "mark" and m[0] in "({":
+            stack.append(m.start())
+            braces += m[0] == "{"
+        elif m.lastgroup == "mark":
+            if m[0] == "}" and braces:
+                while text[stack[-1]] != "{":  # parentheses that never close
+                    stack.pop()
+                braces -= 1
+                out[stack.pop()] = m.start()
+            elif m[0] == ")" and stack and text[stack[-1]] == "(":
+                out[stack.pop()] = m.start()
+    return out
+
+
+def _script_body(text: str, at: int, closings: dict[int, int], arrow: bool) -> int:
+    """The place of the brace that opens the body of the function whose type parameters or parameters begin at `at`; -1 without one."""
+    if text[at] == "<":
+        depth = 0
+        while at < len(text):
+            c = text[at]
+            if c in "({":
+                at = closings.get(at, len(text))
+            elif c in ";)}":
+                return -1
+            elif c == "<":
+                depth += 1
+            elif c == ">" and text[at - 1] != "=":
+                depth -= 1
+            at += 1
+            if not depth:
+                break
+        at = _GAP.match(text, at).end()
+    if text[at : at + 1] != "(" or at not in closings:
+        return -1
+    at = _GAP.match(text, closings[at] + 1).end()
+    typed = text[at : at + 1] == ":"
+    if not typed:
+        if arrow and not text.startswith("=>", at):
+            return -1
+        at = _GAP.match(text, at + 2).end() if arrow else at
+        return at if text[at : at + 1] == "{" and at in closings else -1
+    at += 1
+    while at < len(text):  # the type of what is returned
+        c = text[at]
+        if text.startswith("=>", at):
+            at = _GAP.match(text, at + 2).end()
+            if arrow and text[at : at + 1] == "{" and at in closings and not text.startswith("=>", _GAP.match(text, closings[at] + 1).end()):
+                return at
+            if text[at : at + 1] in ("{", "("):
+                at = closings.get(at, len(text)) + 1
+            continue
+        if c in "({":
+            if not _TYPE_NEXT.search(text, max(0, at - 40), at):
+                return at if c == "{" and not arrow and at in closings else -1
+            at = closings.get(at, len(text))
+        elif c in ";})=":
+            return -1
+        elif c == "/" and text[at + 1 : at + 2] in ("/", "*"):
+            at = max(at, _GAP.match(text, at).end() - 1)
+        elif c in "'\"`":
+            end = text.find(c, at + 1)
+            at = len(text) if end < 0 else end
+        at += 1
+    return -1
+
+
 def _braced(text: str, grammar: str) -> list[Function]:
     rust = grammar == "rust"
     search = (_RUST if rust else _SCRIPT).search
@@ -99,6 +179,8 @@ def _braced(text: str, grammar: str) -> list[Function]:
     doc: list[tuple[int, int]] = []  # spans of documentation directly above the place reached
     edge = 0  # where the last documentation or attribute ended
     head, depth, at = None, 0, 0
+    bodies: dict[int, tuple] = {}  # of scripts: where a body opens, and whose it is
+    closings = {} if rust else _closings(text)
     ends = _line_starts(text)
 
     def above(start: int) -> str:
@@ -127,6 +209,11 @@ def _braced(text: str, grammar: str) -> list[Function]:
             if doc and text[edge : m.start()].strip() == "":
                 edge = at
         elif kind == "head":
+            opens = 0 if rust else _script_body(text, at, closings, m["arrow"] is not None)
+            if opens < 0:
+                if m["method"]:  # a call; modifiers and name are water
+                    doc = []
+                continue
             name = m["name"] or (None if rust else m["method"] or m["arrow"])
             start = text.rfind("\n", 0, m.start() + (0 if rust or m["name"] or m["arrow"] else len(m[0]) - len(m[0].lstrip()))) + 1
             while start < m.start() and text[start] in " \t":
@@ -138,7 +225,10 @@ def _braced(text: str, grammar: str) -> list[Function]:
                 start = closing + 1
                 while start < m.start() and text[start] in " \t":
                     start += 1
-            head, depth = (name, start, above(start)), 0
+            if rust:
+                head, depth = (name, start, above(start)), 0
+            else:
+                bodies[opens] = (name, start, above(start))
             doc = []
         elif kind == "mark":
             c = m[0]
@@ -150,7 +240,9 @@ def _braced(text: str, grammar: str) -> list[Function]:
                 if depth <= 0:
                     head = None
             elif c == "{":
-                if head and depth <= 0:
+                if m.start() in bodies:
+                    stack.append((*bodies.pop(m.start()), m.start()))
+                elif head and depth <= 0:
                     stack.append((*head, m.start()))
                     head = None
                 else:

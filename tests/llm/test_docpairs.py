@@ -110,3 +110,41 @@ def test_tables(spark):
     got = d.pairs(sources, functions).collect()
     assert [(r.fn_id, r.signature, r.docstring) for r in got] == [(1, "pub fn count(a: &str) -> usize", "Counts every visible marker before the frame closes again.")]
     assert d.found(sources.limit(0), functions).count() == 0 and d.found(sources, functions.limit(0)).count() == 0
+
+
+HEADS = '''class A {
+  /** doc */
+  constructor(a = 1, { b, c }: { b: string; c: number } = { b: ")", c: 2 }) { this.a = a; }
+  /** doc */
+  delete(key) { return this.map.delete(key); }
+  /** doc */
+  one(cb: (x: number) => void): Promise<{ a: number }> { cb(1); }
+  /** doc */
+  two<T extends { id: string }>(
+    x: T, // with { in a comment
+    y = () => { return 1; },
+  ): T {
+    return x;
+  }
+  /** doc */
+  declared(a: string): void;
+}
+/** doc */
+const three = async ({ a, b } = {}, cb: (x) => void) => { await cb(a); };
+/** doc */
+export const four: Handler = (x = "}"): x is string => {
+  call(x, () => { return 2; });
+};
+/** doc */
+function five({ a, b }, c = { d: 1 }): { e: number } { return { e: a }; }
+delete(key);
+run(key, function six() { return 3; });
+'''
+
+
+def test_script_heads():
+    f = by_name("a.ts", HEADS)
+    assert set(f) == {"constructor", "delete", "one", "two", "three", "four", "five", "six"}
+    assert all(x.documentation == "/** doc */" for x in f.values() if x.name != "six") and not f["six"].documentation
+    assert f["one"].signature == "one(cb: (x: number) => void): Promise<{ a: number }>" and f["one"].body.endswith("{ cb(1); }")
+    assert (f["two"].line_start, f["two"].line_end) == (9, 14) and f["five"].body.endswith("{ return { e: a }; }") and f["constructor"].body.endswith("{ this.a = a; }")
