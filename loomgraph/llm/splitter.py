@@ -95,8 +95,8 @@ def pieces(functions: DataFrame, config: DataFrame) -> DataFrame:
     """The pieces of each body whose real token count (UTF-8 bytes // 4) exceeds its workspace's limit.
 
     piece counts from 0; text is the body from char_start to char_end; overlap_chars of it are also the end of
-    the piece before, so that the texts without them, in order, give back the body. Bodies within the limit, null
-    and empty ones have no pieces. A row that stands there twice is cut once (the pieces carry no row identity,
+    the piece before, so that the texts without them, in order, give back the body. Bodies within the limit and null
+    ones have no pieces. A limit below 1 decides as it stands which bodies are cut; their pieces have up to one token. A row that stands there twice is cut once (the pieces carry no row identity,
     and equal rows have equal pieces).
     """
 
@@ -119,7 +119,7 @@ def pieces(functions: DataFrame, config: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     real = F.floor(F.octet_length("body") / BYTES_PER_TOKEN)
-    return with_limits(functions, config).where(real > F.greatest("token_limit", F.lit(1))).mapInArrow(run, PIECE)
+    return with_limits(functions, config).where(real > F.col("token_limit")).mapInArrow(run, PIECE)
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:

@@ -44,3 +44,11 @@ def test_tables(spark):
     got = s.split_bodies(f, c).where("fn_id = 1").orderBy("piece").collect()
     assert "".join(r.text[r.overlap_chars :] for r in got) == "x" * 100 and max(r.token_count for r in got) == 4 and [r.piece for r in got] == list(range(len(got)))
     assert s.oversized(f.limit(0), c).count() == 0 and sorted(r.fn_id for r in s.oversized(f, c.limit(0)).collect()) == [3, 5, 8]
+
+
+def test_limits_below_one(spark):
+    f = spark.createDataFrame([(1, "zero", "abcd"), (2, "zero", "abc"), (3, "less", ""), (4, "less", "abcdefgh"), (5, "less", None), (6, "zero", "")], "fn_id long, workspace string, body string")
+    c = spark.createDataFrame([("zero", 0, 0), ("less", -1, 0)], "workspace string, token_limit int, overlap_tokens int")
+    assert sorted(r.fn_id for r in s.oversized(f, c).collect()) == [1, 3, 4]
+    got = s.split_bodies(f, c).orderBy("fn_id", "piece").collect()
+    assert {r.fn_id: "".join(x.text for x in got if x.fn_id == r.fn_id) for r in got} == {1: "abcd", 3: "", 4: "abcdefgh"} and max(r.token_count for r in got) == 1
