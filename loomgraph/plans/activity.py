@@ -221,7 +221,7 @@ def commits_after_watermark(spark, folder) -> DataFrame:
 
 def commit_patches(spark, folder) -> DataFrame:
     c = model.commits(spark, folder).select("hash", F.posexplode("changes").alias("place", "c"))
-    return c.select("hash", "place", commits.patch(F.coalesce("c.diff_snippet", F.lit("")), 2).alias("p")).select("hash", "place", "p.snippet", F.col("p.lines_added").cast("long").alias("lines_added"), F.col("p.lines_removed").cast("long").alias("lines_removed"))
+    return c.select("hash", "place", commits.patch(F.coalesce("c.diff_snippet", F.lit(""))).alias("p")).select("hash", "place", "p.snippet", F.col("p.lines_added").cast("long").alias("lines_added"), F.col("p.lines_removed").cast("long").alias("lines_removed"))
 
 
 def tier_classification(spark, folder) -> DataFrame:

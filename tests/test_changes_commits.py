@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.errors import LoomError
 from loomgraph.operators import changes, commits, extract
+from loomgraph.plans import activity
 
 H = "file_path string, content_hash string, size_bytes long"
 
@@ -73,6 +74,17 @@ def test_commits(spark):
     assert (p.snippet, p.lines_added, p.lines_removed) == ("+a\n-b\n[diff truncated]\n", 1, 1)
 
 
+def test_long_patch(spark, monkeypatch):
+    """The registered query keeps and counts all lines up to the operator's limit, and cuts there."""
+    lines = ["+a", "-b"] * 200
+    diffs = ["\n".join(lines), "\n".join(lines + lines)]
+    c = spark.createDataFrame([("a", [(d,) for d in diffs])], "hash string, changes array<struct<diff_snippet string>>")
+    monkeypatch.setattr(activity.model, "commits", lambda spark, folder: c)
+    whole, cut = activity.commit_patches(spark, "").orderBy("place").collect()
+    assert (whole.snippet, whole.lines_added, whole.lines_removed) == (diffs[0], 200, 200)
+    assert (cut.snippet.count("\n"), cut.lines_added, cut.lines_removed) == (commits.DIFF_LINES + 1, 250, 250) and cut.snippet.endswith("\n[diff truncated]\n")
+
+
 RUST = '''use crate::a::{B, C};
 /// Says hello.
 /// Twice.
