@@ -46,23 +46,53 @@ def test_small(spark):
     assert found(spark, rows) == plain(rows)
 
 
-def test_recall(spark, monkeypatch):
-    """Against brute force, with a visit far below the collection, as it is in a large one."""
+def test_recall(spark):
+    """Against brute force, with a visit of a hundredth of the collection; and exact where all is visited."""
     rows = clustered(3000, 8)
-    monkeypatch.setattr(m, "VISIT", 300)
-    want, got = plain(rows), found(spark, rows)
+    want = plain(rows)
+    got = {tuple(r) for r in m.pairs(m.neighbours(frame(spark, rows), visit=30)).collect()}
     assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.97 * len(got)
+    assert {tuple(r) for r in m.pairs(m.neighbours(frame(spark, rows), visit=len(rows))).collect()} == want
 
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_ROWS", 10)
-    first, lanes = m.blocks({"t": np.array([[4, 5, 0], [3, 25, 2]])})
-    assert first["t"].tolist() == [0, 0, 0, 1, 2, 5] and lanes["t"].tolist() == [1, 1, 1, 1, 3, 1]
+    begin, wide, count = m.blocks(np.array([[4, 5, 0], [3, 25, 2]]), np.array([0, 1, 3, 4, 5]))
+    assert begin.tolist() == [0, 0, 0, 1, 2, 5] and wide.tolist() == [1, 1, 1, 1, 3, 1] and count == 6
     rows = clustered(300)
     rows += [(f"near{i:03d}", "interface", "explicit_code", rows[0][3] * (1 + i / 1000)) for i in range(60)]  # one crowded cell
     assert found(spark, rows) == plain(rows)
 
 
+def test_moved_rows(monkeypatch):
+    """What moves follows the visits: entries by the slices of their own block, queries by the blocks they visit."""
+    monkeypatch.setattr(m, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(m, "SLICE_ROWS", 800)
+    moved = []
+    for count in (2000, 8000, 32_000):
+        r = np.random.default_rng(9)
+        centres = r.normal(size=(count // 5, m.DIMENSIONS))
+        x = m.unit(np.repeat(centres, 5, axis=0) + 0.5 * r.normal(size=(count, m.DIMENSIONS)))
+        books = m.fit(x[:: max(1, count // 2000)], 32)
+        cell = m.distances(x[:, :192], books[0]).argmin(1) * 32 + m.distances(x[:, 192:], books[1]).argmin(1)
+        sizes = np.bincount(cell, minlength=1024).reshape(32, 32)
+        plan = m.planned(sizes, 32, books, x[:: max(1, count // 2000)], 60)
+        entries = sum(int(plan.slices[plan.begin[c] + lane]) * n // plan.wide[c] for c, n in enumerate(sizes.ravel()) for lane in range(plan.wide[c]))
+        moved.append(entries / count)
+    assert max(moved) < 3 and moved[-1] < 2 * moved[0]
+
+
+def test_hot_region(spark, monkeypatch):
+    """A third of all vectors lie close together: all but the best hits are dropped on the way, none of the best."""
+    monkeypatch.setattr(m, "HITS", 2000)
+    monkeypatch.setattr(m, "TILE", 64)
+    r = np.random.default_rng(4)
+    rows, centre = clustered(300), r.normal(size=m.DIMENSIONS)
+    rows += [(f"hot{i:03d}", "interface", "explicit_code", centre + 0.3 * r.normal(size=m.DIMENSIONS)) for i in range(150)]
+    got = {tuple(x) for x in m.pairs(m.neighbours(frame(spark, rows), visit=len(rows))).collect()}
+    assert got == plain(rows)
+
+
 def test_traverse_in_order():
     r = np.random.default_rng(1)
     sizes = r.integers(0, 3, (12, 12))
