@@ -52,9 +52,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one, but only in local mode: on a cluster
+    the executors would write to disks of their own, so there it raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -79,25 +83,38 @@ def app_dir(spark: SparkSession) -> str:
     return path
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Write df as a table bucketed and sorted by a key, to be joined by merges; it goes with the application."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, folder: str | None = None) -> DataFrame:
+    """Write df as a table bucketed and sorted by a key, to be joined by merges. It goes with the application, unless a folder
+    is given: there its files stay, and reopened() finds them."""
     spark = df.sparkSession
     ship(spark)
     rows = df.repartition(buckets, key).sortWithinPartitions(key)
-    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{app_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder or app_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     _TABLES.append((spark, name))
     return spark.table(name)
 
 
+def reopened(spark: SparkSession, name: str, schema: str, key: str, buckets: int, folder: str) -> DataFrame:
+    """A table that bucketed() left in a folder, in this or an earlier application."""
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'")
+        _TABLES.append((spark, name))
+    return spark.table(name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, name in _TABLES:
         with suppress(Exception):  # the session may have been stopped
             spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _STAGED:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
