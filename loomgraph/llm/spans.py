@@ -6,36 +6,51 @@ fingerprint taken from that stretch. Such a stretch reaches at least i/Q of the
 the right for some i, so what is indexed are the Q wider windows around each fingerprint, by their hashes. They are all
 made in the one pass that reads the texts, and the text itself is moved only for verification.
 
-The index holds the keys as immutable runs, bucketed and sorted by key. A new batch becomes a sorted run of its own, is
-merge-joined with each older run, and runs of like size are compacted into one, so history is read by merges and
-rewritten a logarithmic number of times. Keys with the same owners are one key. Where more than CROWD texts own a key, what they
-have in common there may still be short of SPAN: these are keyed anew by all whole windows of SPAN characters around each such
-key, so that no crowd is paired for less, and only then keys with the same owners are one. The pairs left are verified on the
-texts, window by window.
+The index holds the keys as immutable runs, bucketed and sorted by key. A new batch becomes a sorted run of its own and is
+merge-joined with each older run; before the next batch, runs of like size are compacted into one, so history is read by
+merges and rewritten a logarithmic number of times. Given a folder, the index stays there and takes further batches later.
+
+What comes of the keys depends on how many texts own them, and the result does not. Up to CROWD owners, with keys of the same
+owners being one, are paired and verified on the texts. More are never paired: all whole windows of SPAN characters around
+their keys make classes, each window of a class is traced to the class's first text, neighbouring windows with the same first
+text are one stretch, and stretches are verified against that text character by character. That is one comparison per stretch,
+however many texts share it. Only found(), which by definition lists pairs, expands classes, once for each set of owners and
+in lanes.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.components import components
 from loomgraph.llm.words import mixed
-from loomgraph.session import bucketed, stage, tasks
+from loomgraph.session import bucketed, remove, reopened, stage, tasks
 
 SPAN = 400
 K = 200
 Q = 2
-#: Owners of a key from which on it is split by whole windows before pairs are made.
-CROWD = 100
+#: Owners of a key from which on they are classed by whole windows instead of paired.
+CROWD = 8
+#: Batches the table is cut into, by time.
+BATCHES = 4
+#: Keys a bucket of the index has room for, about, and keys of a character of text.
+BUCKET_KEYS = 8_000_000
+KEYS_PER_CHAR = 0.02
+#: Members of a class in one lane when pairs are listed.
+LANE = 1000
 #: Characters worked on at a time; longer texts are read in overlapping parts.
 CHUNK = 400_000
 #: A run is merged with the one before it once it has at least 1 / GROWTH of its rows.
 GROWTH = 2
+#: Windows put out at a time.
+PUT_OUT = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -143,24 +158,19 @@ def index_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _unique(np.concatenate(keys), np.concatenate(owner))
 
 
-def whole_windows(text: str, wanted: np.ndarray) -> np.ndarray:
-    """The distinct hashes of the windows of SPAN characters that hold a window whose key is wanted."""
-    w, out = Windows(text), []
+def whole_windows(text: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of SPAN characters that hold a window whose key is wanted: their hashes, and where they begin."""
+    w = Windows(text)
     slack = SPAN - K
+    mark = np.zeros(len(w.code) + 1, np.int64)  # a window at s holds one at p if p + size - SPAN <= s <= p
     for left, right in {(slack * i // Q, slack * (Q - 1 - i) // Q) for i in range(Q)}:
         size = K + left + right
         at = np.flatnonzero(np.isin(w.hashes(size), wanted))
-        mark = np.zeros(len(w.code) + 1, np.int64)  # a window at s holds one at p if p + size - SPAN <= s <= p
         np.add.at(mark, np.maximum(at + size - SPAN, 0), 1)
         np.add.at(mark, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark) > 0)
-        out.append(w.hashes(SPAN, starts[starts + SPAN <= len(w.code)]))
-    return np.unique(np.concatenate(out))
-
-
-def _rows(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    names = ["key", "doc", "new"][: 2 + len(more)]
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), *map(pa.array, more)], names)
+    starts = np.flatnonzero(np.cumsum(mark) > 0)
+    starts = starts[starts + SPAN <= len(w.code)]
+    return w.hashes(SPAN, starts), starts
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,19 +178,28 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(b.column(0))
         for s in range(0, b.num_rows, 2000):
             keys, who = index_keys(b.column(1).slice(s, 2000).to_pylist())
-            yield _rows(keys, ids[s:][who])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[s:][who])], ["key", "doc"])
+
+
+_WINDOW = "key long, doc long, pos int, once int"
 
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole windows around a text's wanted keys; once is 1 at a window's first place in its text, else 0."""
     for b in batches:
-        ids, new = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-        keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, (wanted, text) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
-            own = whole_windows(text, np.asarray(wanted.values).view(np.uint64))
-            keys.append(own)
-            owner.append(np.full(len(own), k))
-        who = np.concatenate(owner)
-        yield _rows(np.concatenate(keys), ids[who], new[who])
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for doc, wanted, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            keys, at = whole_windows(text, np.asarray(wanted.values).view(np.uint64))
+            once = np.zeros(len(keys), np.int32)
+            once[np.unique(keys, return_index=True)[1]] = 1
+            held.append((keys.view(np.int64), np.full(len(keys), doc), at.astype(np.int32), once))
+            size += len(keys)
+            if size > PUT_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], [c.split(" ")[0] for c in _WINDOW.split(", ")])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], [c.split(" ")[0] for c in _WINDOW.split(", ")])
 
 
 def shared_spans(a: str, b: str, ha: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -221,97 +240,168 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], kind), pa.array(rows[3], kind)], ["a", "b", "spans_a", "spans_b"])
 
 
-def _alike(keyed: DataFrame, crowd: int | None = None) -> DataFrame:
-    """(key, n): of the keys that several texts own, one of them of the batch, one for each set of owners; but all keys of
-    a set of more than `crowd` owners, as each may stand for another stretch."""
-    mark = F.xxhash64("doc")
-    sums = [F.sum(F.shiftright(mark, 28)).alias("s1"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 28)).alias("s2")]
-    owned = keyed.groupBy("key").agg(F.count("*").alias("n"), *sums, F.max("new").alias("fresh")).where("n > 1 and fresh")
-    alone = [F.when(F.col("n") > crowd, F.col("key")).alias("alone")] if crowd is not None else []
-    return owned.groupBy("n", "s1", "s2", *alone).agg(F.min("key").alias("key")).select("key", "n")
+def _owner_sums() -> list:
+    """Aggregates that are the same for the same set of doc, and else are not."""
+    return [F.sum(F.shiftright(F.xxhash64("doc"), 28)).alias("s1"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 28)).alias("s2")]
+
+
+def paired(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(a, b), a < b: all pairs of the names of one key; a key may have any number of them, its pairs are made in lanes."""
+    lanes = rows.groupBy(key).agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes")).where("lanes > 1")
+    spread = rows.join(lanes, key, "left").select(key, name, F.coalesce("lanes", F.lit(1)).alias("lanes"))
+    left = spread.select(key, F.col(name).alias("a"), F.pmod(F.xxhash64(name), "lanes").cast("int").alias("lane"))
+    right = spread.select(key, F.col(name).alias("b"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+    return left.join(right, [key, "lane"]).where("a < b").select("a", "b")
+
+
+@dataclass
+class Candidates:
+    """What a batch may share: pairs (a, b) of texts, and (key, doc) of the keys that a crowd owns."""
+
+    pairs: DataFrame
+    crowds: DataFrame
 
 
 class FingerprintIndex:
     """Sorted runs of keys in the shared folder; add() compares a batch with all of them and with itself."""
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame):
-        """corpus: (doc, text), doc unique, of all batches, read again where texts are verified."""
-        self.spark, self.corpus = spark, corpus
+    def __init__(self, spark: SparkSession, chars: int = 0, folder: str | None = None):
+        """chars: characters to expect, for the number of buckets. folder: where the index stays, and where it is
+        taken up again if it is there; without one it goes with the application."""
+        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
         self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.buckets = tasks(spark)
-        self.runs: list[tuple[DataFrame, int]] = []
-        self.written = 0
-
-    def _write(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        self.buckets = max(tasks(spark), int(chars * KEYS_PER_CHAR / BUCKET_KEYS) + 1)
+        self.runs: list[tuple[DataFrame, int, str]] = []
+        self.written = self.version = self.compacted = 0
+        if self.folder:
+            self._take_up()
+
+    def _take_up(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return
+        listed = self.spark.read.schema("version int, place int, run string, rows long, buckets int, name string, written int").json(f"{self.folder}/manifest/*")
+        rows = listed.join(listed.agg(F.max("version").alias("version")), "version").orderBy("place").collect()  # a row per run
+        for r in rows:
+            self.runs.append((reopened(self.spark, r.run, "key LONG, doc LONG", "key", r.buckets, self.folder), r.rows, r.run))
+            self.buckets, self.name, self.written, self.version = r.buckets, r.name, r.written, r.version
+
+    def _write(self, rows: DataFrame) -> tuple[DataFrame, int, str]:
         self.written += 1
-        run = bucketed(rows, f"{self.name}_{self.written}", "key", self.buckets)
-        return run, run.count()
-
-    def _texts(self, docs: DataFrame) -> DataFrame:
-        """The texts of the given docs; their list is written first, so that its size decides how it is joined."""
-        return self.corpus.join(stage(docs.select("doc").distinct(), "docs"), "doc", "left_semi")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Verified pairs (a, b, spans_a, spans_b), a < b, of which at least one text is of the batch."""
-        run, rows = self._write(batch.select("doc", "text").where(F.length("text") >= SPAN).mapInArrow(_printed, "key long, doc long"))
+        name = f"{self.name}_{self.written}"
+        run = bucketed(rows, name, "key", self.buckets, self.folder)
+        return run, run.count(), name
+
+    def _note(self) -> None:
+        """A new version of the list of runs, one small file."""
+        if self.folder:
+            self.version += 1
+            rows = [(self.version, k, name, n, self.buckets, self.name, self.written) for k, (_, n, name) in enumerate(self.runs)]
+            listed = self.spark.createDataFrame(rows, "version int, place int, run string, rows long, buckets int, name string, written int")
+            listed.coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/{self.version}")
+
+    def compact(self) -> None:
+        """Merge the last runs as long as they are of like size."""
+        old = []
+        while len(self.runs) > 1 and self.runs[-1][1] * GROWTH >= self.runs[-2][1]:
+            (x, _, i), (y, _, j) = self.runs.pop(), self.runs.pop()
+            self.runs.append(self._write(x.unionByName(y)))
+            self.compacted += 1
+            old += [i, j]
+        if old:
+            self._note()
+            for name in old if self.folder else []:
+                remove(self.spark, f"{self.folder}/{name}")
+
+    def add(self, batch: DataFrame) -> Candidates:
+        """What the texts of a batch (doc, text; doc unique, and in no earlier batch) may share with each other and with all before.
+        A text of SPAN characters that two of them share is in the result; verified() and classes() make it exact."""
+        self.compact()
+        run, rows, name = self._write(batch.select("doc", "text").where(F.length("text") >= SPAN).mapInArrow(_printed, "key long, doc long"))
         # Runs are bucketed and sorted by key: neither the grouping of one nor the merge of two moves a row.
         several = run.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-        for old, _ in self.runs:
+        for old, _, _ in self.runs:
             several = several.unionByName(run.hint("merge").join(old.select("key"), "key", "left_semi").select("key"))
         several = stage(several.distinct(), "several")
         hits = run.withColumn("new", F.lit(True))
-        for old, _ in self.runs:
+        for old, _, _ in self.runs:
             hits = hits.unionByName(old.withColumn("new", F.lit(False)))
+        self.runs.append((run, rows, name))
+        self._note()
         keyed = stage(hits.join(several, "key"), "keyed")
-        alike = stage(_alike(keyed, CROWD), "alike")
-        pairs = self._pairs(keyed.join(alike.where(F.col("n") <= CROWD).select("key"), "key"))
-        crowds = stage(keyed.join(alike.where(F.col("n") > CROWD).select("key"), "key"), "crowds")
-        if not crowds.isEmpty():
-            wanted = crowds.groupBy("doc", "new").agg(F.collect_list("key").alias("wanted"))
-            wide = wanted.join(self._texts(crowds), "doc").select("doc", "new", "wanted", "text")
-            exact = stage(wide.mapInArrow(_widened, "key long, doc long, new boolean"), "exact")
-            pairs = pairs.unionByName(self._pairs(exact.join(_alike(exact).select("key"), "key"))).distinct()
-        found = self._verify(stage(pairs, "pairs"))
-        self.runs.append((run, rows))
-        while len(self.runs) > 2 and self.runs[-1][1] * GROWTH >= self.runs[-2][1]:
-            (x, _), (y, _) = self.runs.pop(), self.runs.pop()
-            self.runs.append(self._write(x.unionByName(y)))
-        return found
-
-    def _pairs(self, kept: DataFrame) -> DataFrame:
-        """(a, b) of the owners of each key, once."""
+        owned = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), *_owner_sums()), "owned")
+        few = owned.where(F.col("n") <= CROWD).groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+        kept = keyed.join(few, "key")
         left = kept.select("key", F.col("doc").alias("a"), F.col("new").alias("new_a"))
         right = kept.select("key", F.col("doc").alias("b"), F.col("new").alias("new_b"))
-        return left.join(right, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        texts = stage(self._texts(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))), "texts")
-        right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-        left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-        wide = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return stage(wide.mapInArrow(_verified, _PAIR), "spans")
+        pairs = left.join(right, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
+        crowds = keyed.join(owned.where(F.col("n") > CROWD).select("key"), "key").select("key", "doc")
+        return Candidates(pairs, crowds)
+
+
+def _texts(corpus: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of the given docs; their list is written first, so that its size decides how it is joined."""
+    return corpus.join(stage(docs.select("doc").distinct(), "docs"), "doc", "left_semi")
+
+
+def verified(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose texts in corpus (doc, text) share a stretch, with all of them (spans_a, spans_b)."""
+    texts = stage(_texts(corpus, pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))), "texts")
+    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
+    wide = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    return stage(wide.mapInArrow(_verified, _PAIR), "spans")
+
+
+def classes(corpus: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the crowds' (key, doc): stretches (doc, begin, end, rep) of a text that rep, the first text of their windows' class, has too;
+    and the windows they are of (key, doc). A rep's own windows are stretches of itself."""
+    wanted = crowds.groupBy("doc").agg(F.collect_set("key").alias("wanted"))  # as many as the text has keys
+    texts = stage(_texts(corpus, crowds), "texts")
+    windows = stage(wanted.join(texts, "doc").select("doc", "wanted", "text").mapInArrow(_widened, _WINDOW), "windows")
+    first = windows.groupBy("key").agg(F.sum("once").alias("n"), F.min(F.struct("doc", "pos")).alias("f")).where("n > 1").select("key", F.col("f.doc").alias("rep"), F.col("f.pos").alias("at"))
+    traced = windows.join(first, "key").withColumn("off", F.col("pos") - F.col("at"))
+    # Windows that follow each other in the text and in rep are one stretch: their place less their number is the same.
+    traced = stage(traced.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "rep", "off").orderBy("pos"))), "traced")
+    islands = traced.groupBy("doc", "rep", "off", "island").agg(F.min("pos").alias("begin"), (F.max("pos") + SPAN).alias("end"))
+    theirs = islands.where("doc <> rep").join(texts.select(F.col("doc").alias("rep"), F.col("text").alias("t")), "rep")
+    theirs = theirs.select("doc", "rep", "off", "island", "begin", "end", F.expr("substring(t, begin - off + 1, end - begin)").alias("theirs"))
+    sure = theirs.join(texts, "doc").where(F.expr("substring(text, begin + 1, end - begin) = theirs")).select("doc", "rep", "off", "island", "begin", "end")
+    sure = stage(sure.unionByName(islands.where("doc = rep")), "sure")
+    members = traced.where("once = 1").join(sure.select("doc", "rep", "off", "island"), ["doc", "rep", "off", "island"], "left_semi").select("key", "doc")
+    return sure.select("doc", "begin", "end", "rep"), members
 
 
 def owners(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc): each document and the smallest id that has the same text, for texts of SPAN characters or more."""
+    """(doc_id, doc, same): each document and the smallest id that has the same text, for texts of SPAN characters or more; of
+    several texts of one doc_id that with the smallest digest, which is `same`."""
     slim = documents.where(F.length("text") >= SPAN).where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("same")).groupBy("doc_id").agg(F.min("same").alias("same"))
     first = slim.groupBy("same").agg(F.min("doc_id").alias("doc"))
-    return slim.join(first, "same").select("doc_id", "doc")
+    return slim.join(first, "same").select("doc_id", "doc", "same")
+
 
+def _spans(documents: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, doc), lengths (doc, chars), verified pairs of distinct texts, and the crowds' stretches and windows.
 
-def _spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, doc), and verified pairs of distinct texts; the earlier half of the corpus goes into the index
-    first, the later half is compared as the next batch. Only keys are moved, not texts, as long as the list of copies is short."""
+    The corpus goes into the index in BATCHES of about as many rows, in the order of ingested_at (null first), each compared
+    with those before it. Only keys are moved, not texts, as long as the list of copies is short."""
     members = stage(owners(documents), "owners")
     copies = stage(members.where("doc_id <> doc").select(F.col("doc_id").alias("doc")), "copies")
     rows = documents.select(F.col("doc_id").alias("doc"), "text", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at")).where(F.length("text") >= SPAN).where("doc is not null")
-    if rows.count() > members.count():  # a doc_id stands there more than once
-        rows = rows.dropDuplicates(["doc"])
-    middle = documents.agg(F.percentile_approx(F.unix_micros(F.col("ingested_at").cast("timestamp")), 0.5)).first()[0]
-    later = F.coalesce(F.col("at") > F.lit(middle), F.lit(False))
-    index = FingerprintIndex(documents.sparkSession, rows.select("doc", "text"))
-    found = [index.add(rows.where(c).join(copies, "doc", "left_anti")) for c in (~later, later)]
-    return members, found[0].unionByName(found[1])
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.percentile_approx("at", [k / BATCHES for k in range(1, BATCHES)]).alias("cuts")).first()
+    if size.n > members.count():  # a doc_id stands there more than once: the text that owners() chose, once
+        rows = rows.withColumn("same", F.sha2("text", 256)).join(members.select(F.col("doc_id").alias("doc"), "same"), ["doc", "same"], "left_semi").drop("same").dropDuplicates(["doc"])
+    corpus, lengths = rows.select("doc", "text"), rows.select("doc", F.length("text").cast("long").alias("chars"))
+    index = FingerprintIndex(documents.sparkSession, size.chars or 0, folder)
+    batch = sum((F.coalesce(F.col("at") > cut, F.lit(False)).cast("int") for cut in size.cuts or []), F.lit(0))
+    texts = rows.join(copies, "doc", "left_anti").withColumn("batch", batch)
+    seen = [index.add(texts.where(F.col("batch") == k)) for k in range(BATCHES)]
+    pairs, crowds = seen[0].pairs, seen[0].crowds
+    for c in seen[1:]:
+        pairs, crowds = pairs.unionByName(c.pairs), crowds.unionByName(c.crowds)
+    spans = verified(corpus, stage(pairs.distinct(), "pairs"))
+    stretches, windows = classes(corpus, stage(crowds.distinct(), "crowds"))
+    return members.select("doc_id", "doc"), lengths, spans, stretches, windows
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -320,26 +410,36 @@ def found(documents: DataFrame) -> DataFrame:
     Characters are code points, compared as they stand. Null, empty and shorter texts share nothing; repeated rows
     count once; an empty table gives no rows. Texts that are the same are compared as one and paired at the end.
     """
-    members, spans = _spans(documents)
-    m = members.select("doc", "doc_id")
-    copies = m.select("doc", F.col("doc_id").alias("doc_id_a")).join(m.select("doc", F.col("doc_id").alias("doc_id_b")), "doc").where("doc_id_a < doc_id_b")
-    x = spans.select("a", "b").join(m.select(F.col("doc").alias("a"), F.col("doc_id").alias("i")), "a").join(m.select(F.col("doc").alias("b"), F.col("doc_id").alias("j")), "b")
-    other = x.select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
-    return copies.select("doc_id_a", "doc_id_b").unionByName(other)
+    members, _, spans, _, windows = _spans(documents)
+    sets = windows.groupBy("key").agg(F.count("*").alias("n"), *_owner_sums()).groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    crowded = paired(stage(windows.join(sets, "key"), "sets"), "key", "doc")
+    texts = spans.select("a", "b").unionByName(crowded).distinct()
+    named = members.select("doc", "doc_id")
+    x = texts.join(named.select(F.col("doc").alias("a"), F.col("doc_id").alias("i")), "a").join(named.select(F.col("doc").alias("b"), F.col("doc_id").alias("j")), "b")
+    copies = paired(named, "doc", "doc_id").select(F.col("a").alias("i"), F.col("b").alias("j"))
+    return copies.unionByName(x.select("i", "j")).select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b"))
 
 
 def shares(documents: DataFrame) -> DataFrame:
-    """doc_id, chars, shared_chars, shared_ratio, texts: of each document with a shared stretch how many of its characters stand in
-    stretches of SPAN or more that another document has, and the number of other distinct texts it shares with (a copy counts none)."""
-    members, spans = _spans(documents)
-    sides = spans.select(F.col("a").alias("doc"), F.col("b").alias("other"), F.explode("spans_a").alias("s")).unionByName(spans.select(F.col("b").alias("doc"), F.col("a").alias("other"), F.explode("spans_b").alias("s")))
-    partners = sides.groupBy("doc").agg(F.countDistinct("other").alias("texts"))
+    """doc_id, class_id, class_size, chars, shared_chars, shared_ratio: of each document with a shared stretch how many of its characters
+    stand in stretches of SPAN or more that another document has; documents that share one, directly or through a chain, are
+    a class, named by its smallest doc_id. A copy of another text is shared as a whole.
+
+    No pairs are made of the documents that share one stretch. Null, empty and shorter texts share nothing; repeated rows count
+    once (of several texts of one doc_id that with the smallest SHA-256); an empty table gives no rows.
+    """
+    members, lengths, spans, stretches, _ = _spans(documents)
+    sides = spans.select(F.col("a").alias("doc"), F.explode("spans_a").alias("s")).unionByName(spans.select(F.col("b").alias("doc"), F.explode("spans_b").alias("s"))).select("doc", "s.begin", "s.end")
+    flat = sides.unionByName(stretches.select("doc", "begin", "end")).distinct()
     w = "partition by doc order by begin, end rows between unbounded preceding and 1 preceding"
-    flat = sides.select("doc", "s.begin", "s.end").distinct()
     grown = flat.withColumn("before", F.expr(f"coalesce(max(end) over ({w}), 0)"))
-    covered = grown.groupBy("doc").agg(F.sum(F.greatest(F.col("end") - F.greatest("begin", "before"), F.lit(0))).alias("shared"))
+    covered = grown.groupBy("doc").agg(F.sum(F.greatest(F.col("end") - F.greatest("begin", "before"), F.lit(0))).cast("long").alias("shared"))
+    links = spans.select("a", "b").unionByName(stretches.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+    joined = components(links)
     sizes = members.groupBy("doc").agg(F.count("*").alias("owners"))
-    length = documents.select(F.col("doc_id").alias("doc"), F.length("text").cast("long").alias("chars")).where("chars is not null").groupBy("doc").agg(F.max("chars").alias("chars"))
-    each = sizes.join(length, "doc").join(covered, "doc", "left").join(partners, "doc", "left").where("owners > 1 or shared is not null")
-    judged = each.select("doc", "chars", F.when(F.col("owners") > 1, F.col("chars")).otherwise(F.col("shared")).alias("shared_chars"), F.coalesce("texts", F.lit(0)).alias("texts"))
-    return members.select("doc_id", "doc").join(judged, "doc").select("doc_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_ratio"), "texts")
+    each = sizes.join(lengths, "doc").join(covered, "doc", "left").join(joined.withColumnRenamed("node", "doc"), "doc", "left").where("owners > 1 or shared is not null")
+    each = each.select("doc", "owners", F.coalesce("component", "doc").alias("class_id"), "chars", F.when(F.col("owners") > 1, F.col("chars")).otherwise(F.col("shared")).alias("shared_chars"))
+    each = stage(each, "each")
+    wide = each.groupBy("class_id").agg(F.sum("owners").alias("class_size"))
+    out = members.join(each, "doc").join(wide, "class_id")
+    return out.select("doc_id", "class_id", "class_size", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_ratio"))
