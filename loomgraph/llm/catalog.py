@@ -84,7 +84,23 @@ near AS (
   FROM scored WHERE similarity >= 0.6 QUALIFY rank <= 5)
 """
 
+_P4 = """
+WITH RECURSIVE f AS (SELECT DISTINCT fn_id, body FROM extracted_function WHERE body IS NOT NULL),
+b AS (SELECT body, min(fn_id) AS rep FROM f GROUP BY 1),
+t AS (SELECT rep, regexp_extract_all(body, '[A-Za-z0-9_]+') AS w FROM b),
+s AS (SELECT DISTINCT rep, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM t WHERE len(w) >= 3),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.rep AS a, y.rep AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.rep < y.rep GROUP BY 1, 2),
+link AS (SELECT a, b FROM c JOIN n p ON p.rep = a JOIN n q ON q.rep = b WHERE 10 * common >= 7 * (p.n + q.n - common)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT rep, rep AS other FROM b UNION SELECT r.rep, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+g AS (SELECT rep, min(other) AS group_id FROM reach GROUP BY 1),
+m AS (SELECT fn_id, group_id FROM f JOIN b USING (body) JOIN g USING (rep))
+"""
+
 SQL = {
+    "p4_found": _P4 + "SELECT x.fn_id AS fn_id_a, y.fn_id AS fn_id_b FROM m x JOIN m y ON x.group_id = y.group_id AND x.fn_id < y.fn_id",
+    "p4_groups": _P4 + "SELECT fn_id, group_id FROM m WHERE group_id IN (SELECT group_id FROM m GROUP BY 1 HAVING count(*) > 1)",
     "p5_found": _P5 + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM near",
     "p5_neighbours": _P5 + "SELECT * FROM near",
     "p7_found": """
@@ -107,4 +123,18 @@ WITH win AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 398), lambda i: md5_number(substring(text, i, 400)))) AS h
   FROM documents WHERE length(text) >= 400)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM win a JOIN win b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_shared": """
+WITH RECURSIVE place AS (
+  SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS pos FROM documents WHERE length(text) >= 400),
+win AS (SELECT doc_id, pos, md5_number(substring(text, pos, 400)) AS h FROM place),
+hold AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, pos, first FROM win JOIN hold USING (h)),
+next AS (SELECT doc_id, least(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 400), 400) AS n FROM hit),
+cover AS (SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM next GROUP BY 1),
+link AS (SELECT DISTINCT doc_id AS a, first AS b FROM hit),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+class AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY 1)
+SELECT doc_id, class_id, class_size, length(text) AS chars, shared_chars, round(shared_chars / length(text), 6) AS shared_ratio
+FROM class JOIN cover USING (doc_id) JOIN documents USING (doc_id)""",
 }
