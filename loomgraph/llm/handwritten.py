@@ -1,11 +1,15 @@
 """Source files that nobody wrote by hand: tool output, squeezed files, third-party copies, data saved as code.
 
-A notice in the opening comment or a path that tools and package managers use settles a file. For the others a
-random forest judges the text: how well it compresses, how its tokens are spread, how long identifiers and lines are,
-how much of it is comment. It learns from the files that carry a tool's notice, which is cut out before the
-features are taken, against files without any sign. Third-party copies look like anyone's code, so their notices are
-no label. A file of which next to nothing is left once literals and comments are removed is data. What a file is, its
-copies are; and a file too big to be read is none of the project's sources.
+A random forest judges each readable file: how well it compresses, how its tokens are spread, how long identifiers and lines are,
+how much of it is comment, literal or code, and whether its path is one that tools and package managers use. What it learns from
+are header notices, which are cut out of the text before the features are taken, so that it has to find what such files have
+in common: tools' notices, and those of third parties below known paths; elsewhere third-party code has nothing but its
+notice. Files without a notice are examples of hand-written ones, those below known paths of nothing. Data bears no notices:
+there, files of which next to nothing is left outside literals and comments are the examples, and those of which little is
+left are none.
+
+Beside the forest's verdict stand only: the notice itself, as third-party code looks like any other; the same text as that of a file
+with a sign; and a file too big to be read.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from loomgraph.session import stage
 FIT_ROWS = 20_000
 TREES = 24
 DEPTH = 6
-#: Below this share of identifier characters outside comments and literals a file is data.
-DATA_SHARE = 0.2
+#: Up to this share of identifier characters outside comments and literals a file is an example of data, from CLEAR_SHARE on of none.
+DATA_SHARE, CLEAR_SHARE = 0.1, 0.3
 DATA_LEAST_CHARS = 200
+#: One of so many labelled rows is held out by evaluation().
+HELD_OUT = 5
 #: The indexer reads no file above this size.
 READ_LIMIT = 1 << 20
 BLOCK = 4096
@@ -53,7 +59,7 @@ _TOOL = re.compile(
 )
 _BANNER = re.compile(r"^/\*!.*\bv?\d+\.\d+", re.S)
 _THIRD = re.compile(
-    r"\bthird[- ]party (?:code|source|software|library|file)|\bvendored\b.{0,20}\bfrom\b|\b(?:imported|verbatim) copy of\b|\bkept in-tree\b|\bcopied from upstream\b|\boverwritten on sync\b|\bredistribution and use in source\b",
+    r"\bthird[- ]party (?:code|source|software|library|file)|\bvendored\b.{0,20}\bfrom\b|\b(?:imported|verbatim) copy of\b|\bredistribution and use in source\b",
     re.I | re.S,
 )
 
@@ -62,7 +68,7 @@ _NUMBER = re.compile(r"(?<![\w$])\d[\w.]*")
 _BRACED = re.compile(r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<literal>\bb?r(?P<h>#*)".*?"(?P=h)|b?"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])(?:[^\'\\\n]*\')?)', re.S)
 _SCRIPT = re.compile(r"(?P<comment>\#[^\n]*|\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?''')|(?P<literal>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*')", re.S)
 
-FEATURES = ["ratio", "entropy", "distinct", "identifier_mean", "identifier_short", "comment_share", "line_mean", "line_longest", "digit_share", "space_share", "mark_share"]
+FEATURES = ["ratio", "entropy", "distinct", "identifier_mean", "identifier_short", "comment_share", "line_mean", "line_longest", "digit_share", "space_share", "mark_share", "code_share", "literal_share", "known_path"]
 
 
 def opening(text: str) -> int:
@@ -86,9 +92,8 @@ def notices(text: str) -> tuple[bool, bool, str]:
     return False, False, text
 
 
-def features(path: str, text: str) -> tuple[list[float], float, int]:
-    """The forest's features of a text, its share of code (identifier characters outside comments and literals) and
-    the characters that share is taken of."""
+def features(path: str, text: str) -> tuple[list[float], int]:
+    """The forest's features of a text, and the characters that are no comment."""
     raw = text.encode("utf-8", "surrogatepass")
     n = max(1, len(text))
     squeezed = sum(len(zlib.compress(raw[i : i + BLOCK], 1)) for i in range(0, len(raw), BLOCK))
@@ -128,13 +133,15 @@ def features(path: str, text: str) -> tuple[list[float], float, int]:
             digits / max(1, len(raw)),
             spaces / max(1, len(raw)),
             max(0, len(raw) - digits - spaces - letters) / max(1, len(raw)),
+            named / rest,
+            literal / rest,
+            float(bool(_PATH.search(path))),
         ],
-        named / rest,
         rest,
     )
 
 
-_SEEN = "file_id string, same binary, tool boolean, third boolean, data boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+_SEEN = "file_id string, same binary, tool boolean, third boolean, chars int, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,75 +149,91 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 200):
             part = b.slice(s, 200)
-            same, tool, third, data, seen = [], [], [], [], []
+            same, tool, third, chars, seen = [], [], [], [], []
             for path, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 by_tool, by_others, rest = notices(text)
-                f, share, chars = features(path or "", rest)
+                f, n = features(path or "", rest)
                 same.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                 tool.append(by_tool)
                 third.append(by_others)
-                data.append(share < DATA_SHARE and chars >= DATA_LEAST_CHARS)
+                chars.append(n)
                 seen.append(f)
-            columns = [part.column(0), pa.array(same, pa.binary()), pa.array(tool), pa.array(third), pa.array(data)]
+            columns = [part.column(0), pa.array(same, pa.binary()), pa.array(tool), pa.array(third), pa.array(chars, pa.int32())]
             columns += [pa.array(c, pa.float64()) for c in np.asarray(seen, np.float64).T]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def measured(sources: DataFrame) -> DataFrame:
-    """Text hash, notices, and features of each readable file (file_id, path, source); a repeated row counts once."""
-    return sources.select("file_id", "path", "source").where("file_id is not null and source is not null").mapInArrow(_judged, _SEEN).dropDuplicates(["file_id"])
+    """Text hash, notices, and features of each readable file (file_id, path, source), once: of several texts that with the smallest hash."""
+    seen = sources.select("file_id", "path", "source").where("file_id is not null and source is not null").mapInArrow(_judged, _SEEN)
+    rest = [c for c in seen.columns if c not in ("file_id", "same")]
+    return seen.groupBy("file_id").agg(F.min(F.struct("same", *rest)).alias("s")).select("file_id", "s.*")
 
 
-def fit(labelled: DataFrame):
+def labelled(seen: DataFrame) -> DataFrame:
+    """The rows of measured() that are examples, with their label: 1 for a tool's notice, a third party's below a known path, and
+    what is clearly data; 0 for what has no notice, no known path, and is clearly no data."""
+    known = F.col("known_path") == 1.0
+    data, unclear = (F.col("chars") >= DATA_LEAST_CHARS) & (F.col("code_share") < DATA_SHARE), F.col("code_share") < CLEAR_SHARE
+    label = F.when(F.col("tool") | (F.col("third") & known) | data, 1.0).when(~(F.col("third") | known | unclear), 0.0)
+    return seen.withColumn("label", label).where("label is not null")
+
+
+def fit(examples: DataFrame):
     """A random forest over (FEATURES, label), both classes weighing the same; None if one of them has no rows.
 
     The rows are a bounded sample: about FIT_ROWS of them, those with the smallest hash of their id."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     share = min(1.0, FIT_ROWS / sum(counts.values()))
-    sample = labelled.where((F.xxhash64("file_id", F.lit(3)) / float(1 << 63)) <= 2 * share - 1) if share < 1 else labelled
+    sample = examples.where((F.xxhash64("file_id", F.lit(3)) / float(1 << 63)) <= 2 * share - 1) if share < 1 else examples
     sample = sample.withColumn("weight", F.when(F.col("label") == 1.0, counts[0.0] / counts[1.0]).otherwise(1.0))
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label", "weight")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, weightCol="weight", seed=7, subsamplingRate=0.8).fit(assembled)
 
 
+def judged(model, seen: DataFrame) -> DataFrame:
+    """file_id and forest, the model's verdict, of rows of measured(); without a model it says nothing."""
+    from pyspark.ml.feature import VectorAssembler
+
+    if model is None:
+        return seen.select("file_id", F.lit(False).alias("forest"))
+    return model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(seen)).select("file_id", (F.col("prediction") == 1.0).alias("forest"))
+
+
+def evaluation(sources: DataFrame) -> DataFrame:
+    """kind (tool, third, data, hand), forest, n: how a forest fitted without one in HELD_OUT labelled rows judges those, by what they are."""
+    rows = labelled(stage(measured(sources), "features"))
+    out = F.pmod(F.xxhash64("file_id", F.lit(5)), F.lit(HELD_OUT)) == 0
+    kind = F.when(F.col("tool"), "tool").when(F.col("third"), "third").when(F.col("label") == 1.0, "data").otherwise("hand")
+    held = rows.where(out)
+    return held.select("file_id", kind.alias("kind")).join(judged(fit(rows.where(~out)), held), "file_id").groupBy("kind", "forest").agg(F.count("*").alias("n"))
+
+
 def verdicts(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, by_path, by_notice, by_text, by_copy, by_size), one row per file of code_file that has any of them.
+    """(id, by_notice, by_forest, by_copy, by_size), one row per file of code_file that has any of them.
 
-    by_size: the source is null, or there is none and size_bytes is above READ_LIMIT. by_text: the forest or the data
-    rule. by_copy: its text is that of a file with another sign. language is not used, it is null or misspelt too often.
-    Files with a null id are left out; repeated ids count once; empty files have no sign but their path's; an empty
-    table gives no rows; without labelled files of both classes the forest says nothing.
+    by_size: the source is null, or there is none and size_bytes is above READ_LIMIT. by_copy: its text is that of a file with
+    another sign, and it has none of its own. language is not used, it is null or misspelt too often. Files with a null id are left
+    out; repeated ids count once; an empty file is judged by the forest as any other; an empty table gives no rows; without examples
+    of both classes the forest says nothing.
     """
-    from pyspark.ml.feature import VectorAssembler
-
     seen = stage(measured(sources), "features")
-    path_sign = F.col("path").rlike("(?i)" + _PATH.pattern)
-    known = files.where("id is not null").groupBy("id").agg(F.max(path_sign).alias("by_path"), F.max("size_bytes").alias("size_bytes"))
-    unread = sources.where("file_id is not null").groupBy(F.col("file_id").alias("id")).agg(F.max(F.col("source").isNull()).alias("unread"), F.max(F.col("source").isNotNull()).alias("read"))
-    paths = stage(known.join(unread, "id", "left").select("id", F.coalesce("by_path", F.lit(False)).alias("by_path"), (F.coalesce(F.col("unread") & ~F.col("read"), F.lit(False)) | (F.col("read").isNull() & (F.col("size_bytes") > READ_LIMIT))).alias("by_size")), "paths")
-    table = stage(paths.join(seen.withColumnRenamed("file_id", "id"), "id", "left"), "files")
-    label = F.when(F.col("tool"), 1.0).when(~(F.col("by_path") | F.col("third") | F.col("data")), 0.0)
-    text = table.where("same is not null")
-    model = fit(text.withColumn("label", label).where("label is not null").withColumnRenamed("id", "file_id"))
-    if model is None:
-        scored = text.select("id", F.lit(False).alias("forest"))
-    else:
-        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(text)).select("id", (F.col("prediction") == 1.0).alias("forest"))
-    own = stage(
-        table.join(scored, "id", "left").select(
-            "id", "same", "by_path", F.coalesce(F.col("tool") | F.col("third"), F.lit(False)).alias("by_notice"), F.coalesce(F.col("forest") | F.col("data"), F.lit(False)).alias("by_text"), F.coalesce("by_size", F.lit(False)).alias("by_size")
-        ),
-        "signs",
-    )
-    sign = F.col("by_path") | F.col("by_notice") | F.col("by_text") | F.col("by_size")
+    forest = judged(fit(labelled(seen)), seen)
+    known = files.where("id is not null").groupBy("id").agg(F.max("size_bytes").alias("size_bytes"))
+    unread = sources.where("file_id is not null").groupBy(F.col("file_id").alias("id")).agg(F.max(F.col("source").isNotNull()).alias("read"))
+    by_size = F.when(F.col("read").isNull(), F.col("size_bytes") > READ_LIMIT).otherwise(~F.col("read"))
+    text = seen.select(F.col("file_id").alias("id"), "same", (F.col("tool") | F.col("third")).alias("notice"))
+    own = known.join(unread, "id", "left").select("id", F.coalesce(by_size, F.lit(False)).alias("by_size")).join(text, "id", "left").join(forest.withColumnRenamed("file_id", "id"), "id", "left")
+    own = stage(own.select("id", "same", F.coalesce("notice", F.lit(False)).alias("by_notice"), F.coalesce("forest", F.lit(False)).alias("by_forest"), "by_size"), "signs")
+    sign = F.col("by_notice") | F.col("by_forest") | F.col("by_size")
     copied = own.where("same is not null").groupBy("same").agg(F.max(sign).alias("any"), F.count("*").alias("n")).where("any and n > 1").select("same", F.lit(True).alias("copy"))
-    out = own.join(copied, "same", "left").select("id", "by_path", "by_notice", "by_text", (~sign & F.coalesce("copy", F.lit(False))).alias("by_copy"), "by_size")
-    return out.where("by_path or by_notice or by_text or by_copy or by_size")
+    out = own.join(copied, "same", "left").select("id", "by_notice", "by_forest", (~sign & F.coalesce("copy", F.lit(False))).alias("by_copy"), "by_size")
+    return out.where("by_notice or by_forest or by_copy or by_size")
 
 
 def found(files: DataFrame, sources: DataFrame) -> DataFrame:

@@ -37,21 +37,39 @@ def test_signs():
     assert not any(map(hit, ("src/vendored_parser.rs", "src/codegen/a.rs", "src/generated_beacon.py", "src/target/a.rs", "distance/x.rs", "a/minify.js")))
 
 
-def test_data_and_text():
-    assert h.features("a.rs", "pub const T: [u8; 900] = [" + "0x78, " * 900 + "];")[1] < h.DATA_SHARE
-    assert h.features("a.py", 'X = ("' + "Ab9/" * 300 + '")')[1] < h.DATA_SHARE
-    assert h.features("a.rs", hand(1) + 'let s = "' + "lorem " * 60 + '";')[1] > h.DATA_SHARE
+def test_features():
+    share = lambda path, text: h.features(path, text)[0][h.FEATURES.index("code_share")]
+    assert share("a.rs", "pub const T: [u8; 900] = [" + "0x78, " * 900 + "];") < h.DATA_SHARE
+    assert share("a.py", 'X = ("' + "Ab9/" * 300 + '")') < h.DATA_SHARE
+    assert share("a.rs", hand(1) + 'let s = "' + "lorem " * 60 + '";') > h.CLEAR_SHARE
+    assert h.features("vendor/a.rs", "fn a() {}")[0][-1] == 1.0 and h.features("src/a.rs", "fn a() {}")[0][-1] == 0.0
     for odd in ("", "\n", "é" * 10, "\x00", '"' * 99, "x" * 300_000):
         assert len(h.features("a.py", odd)[0]) == len(h.FEATURES)
 
 
-def test_verdicts(spark):
+def collection():
     rows = [(f"h{k}", f"src/h{k}.rs", hand(k)) for k in range(60)]
     rows += [(f"g{k}", f"src/g{k}.rs", "// Code generated by x. DO NOT EDIT.\n" + made(k)) for k in range(12)]
-    rows += [("quiet", "src/quiet.rs", made(99)), ("vend", "vendor/a/b.rs", hand(1000)), ("copy", "src/copy.rs", hand(1000)), ("big", "src/big.rs", None), ("gone", "src/gone.rs", "absent"), ("empty", "src/e.rs", ""), ("h0", "src/h0.rs", hand(0))]
+    rows += [(f"v{k}", f"vendor/a{k}/b.rs", "// Vendored from upstream a at revision 1.\n" + hand(500 + k)) for k in range(12)]
+    return rows + [(f"d{k}", f"src/d{k}.rs", "pub const T: [u16; 400] = [" + ", ".join(str((i * (k + 3)) % 997) for i in range(400)) + "];\n") for k in range(8)]
+
+
+def test_verdicts(spark):
+    """What carries a notice teaches the forest what does not."""
+    rows = collection()
+    rows += [("quiet", "src/quiet.rs", made(99)), ("vend", "vendor/z/b.rs", hand(1000)), ("copy", "src/copy.rs", hand(1000)), ("big", "src/big.rs", None), ("gone", "src/gone.rs", "absent"), ("h0", "src/h0.rs", hand(0)), ("odd", "src/odd.rs", "// Imported copy of z.\n" + hand(1001))]
     got = verdicts(spark, rows)
-    assert set(got) == {f"g{k}" for k in range(12)} | {"quiet", "vend", "copy", "big"}
-    assert got["quiet"].by_text and got["vend"].by_path and got["copy"].by_copy and got["big"].by_size and got["g0"].by_notice
+    assert set(got) == {f"g{k}" for k in range(12)} | {f"v{k}" for k in range(12)} | {f"d{k}" for k in range(8)} | {"quiet", "vend", "copy", "big", "odd"}
+    assert all(got[i].by_forest and not got[i].by_notice for i in ("quiet", "vend", "d0")) and got["g0"].by_forest and got["g0"].by_notice
+    assert got["copy"].by_copy and got["big"].by_size and got["odd"].by_notice and not got["odd"].by_forest
+
+
+def test_held_out(spark):
+    rows = [(f"{i}-{k}", p, s) for k in range(3) for i, p, s in collection()]
+    sources = spark.createDataFrame([(i, p, s, "x", "y") for i, p, s in rows], S)
+    n = {(r.kind, r.forest): r.n for r in h.evaluation(sources).collect()}
+    right = n.get(("hand", False), 0) + sum(n.get((k, True), 0) for k in ("tool", "third", "data"))
+    assert right >= 0.95 * sum(n.values()) and sum(n.values()) >= 0.1 * len(rows)
 
 
 def test_empty(spark):
