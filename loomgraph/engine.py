@@ -344,7 +344,7 @@ class Workspace:
             self.table("symbols").where(F.col("kind") == kind).createOrReplaceTempView(kind)
         for e in EDGE_TYPES:
             self.table("edges").where(F.col("edge_type") == e).createOrReplaceTempView(e)
-        return gate.run(self.spark, query, self.config.query_row_limit, self.config.query_timeout_ms)
+        return gate.run(self.spark, query, self.config.query_row_limit, self.config.query_timeout_ms, [*SCHEMAS, *KINDS, *EDGE_TYPES])
 
     def index_git_history(self, depth: int | None = None, force: bool = False) -> dict:
         began = time.monotonic()

@@ -122,6 +122,40 @@ def test_gate(spark):
     assert gate.run(spark, "SELECT id AS updated_at FROM range(10)", row_limit=3)["truncated"]
 
 
+def test_gate_reads_views_only(spark):
+    """What reads or runs anything beside the views is rejected before it is analysed."""
+    spark.range(5).createOrReplaceTempView("five")
+    spark.udf.register("own_function", lambda x: x)
+    for q in (
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT * FROM five WHERE id = (SELECT max(_c0) FROM csv.`/etc/hostname`)",
+        "WITH a AS (SELECT * FROM parquet.`/tmp`) SELECT * FROM a",
+        "SELECT * FROM default.five",
+        "SELECT java_method('java.lang.System', 'getenv', 'HOME')",
+        "SELECT (SELECT reflect('java.lang.System', 'getenv', 'HOME'))",
+        "SELECT * FROM five ORDER BY try_reflect('java.lang.System', 'getenv', 'HOME')",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getenv', 'HOME')",
+        "SELECT * FROM IDENTIFIER('five')",
+        "SELECT own_function(id) FROM five",
+        "SELECT raise_error('x')",
+        "SELECT TRANSFORM(id) USING 'cat' FROM five",
+        "SELECT * FROM five LATERAL VIEW java_method('java.lang.System', 'getenv', 'HOME') t AS x",
+        "SELECT * FROM sql_keywords()",
+        "SHOW TABLES",
+        "EXPLAIN SELECT 1",
+        "CACHE TABLE five",
+    ):
+        fails("QueryRejected", gate.run, spark, q)
+    fails("QueryInvalid", gate.run, spark, "SELECT * FROM five", views=["six"])
+    for q, n in (
+        ("WITH a AS (SELECT id FROM five), b AS (SELECT * FROM a) SELECT * FROM b WHERE id IN (SELECT id FROM a) AND EXISTS (SELECT 1 FROM five)", 5),
+        ("SELECT count(*) AS n, max(id) OVER () AS m FROM five GROUP BY id HAVING count(*) > 0", 5),
+        ("SELECT * FROM five LATERAL VIEW explode(array(1, 2)) t AS x", 10),
+        ("SELECT id FROM five UNION ALL SELECT filter(array(9), x -> x > 1)[0]", 6),
+    ):
+        assert gate.run(spark, q)["row_count"] == n
+
+
 def test_usage_file(spark, tmp_path):
     p = tmp_path / "u/usage.jsonl"
     fails("MetricsNotFound", files.read_usage, spark, str(p))
