@@ -44,7 +44,9 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1,
     are not followed. depth is held to 1..5; most None means all. Order of `found` is that of discovery, ties by id.
     """
     depth = min(max(depth, 1), DEPTH_MOST)
-    link = links(edges, types)
+    link, nodes = links(edges, types), nodes.select("id", "kind", "name", "file_path")
+    if depth > 1:  # what every level joins is made distinct and narrow once
+        link, nodes = stage(link, "links"), stage(nodes, "nodes")
     both = link.select(F.col("src").alias("at"), F.col("dst").alias("to"), "edge_type", "src", "dst", F.lit(0).alias("way")).unionByName(
         link.select(F.col("dst").alias("at"), F.col("src").alias("to"), "edge_type", "src", "dst", F.lit(1).alias("way"))
     )

@@ -137,7 +137,7 @@ def edges_scan(spark, folder) -> DataFrame:
 
 
 def resolve_ends(spark, folder) -> DataFrame:
-    e = graph.links(model.edges(spark, folder), ("imports",))
+    e = graph.links(model.edge_lines(spark, folder), ("imports",))
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
     return listing.resolve(model.nodes(spark, folder), ids)
 
@@ -159,50 +159,50 @@ def embedding_coverage(spark, folder) -> DataFrame:
 
 
 def bfs_neighborhood_nodes(spark, folder) -> DataFrame:
-    n, e = model.nodes(spark, folder), model.edges(spark, folder)
+    n, e = model.nodes(spark, folder), model.edge_lines(spark, folder)
     out, _ = graph.neighbourhood(n, e, busiest(model.symbols(spark, folder), e, "dst"), 3, None)
     return out.select("id", "kind", "name", "depth")
 
 
 def bfs_capped(spark, folder) -> DataFrame:
-    n, e = model.nodes(spark, folder), model.edges(spark, folder)
+    n, e = model.nodes(spark, folder), model.edge_lines(spark, folder)
     out, truncated = graph.neighbourhood(n, e, busiest(model.symbols(spark, folder), e, "dst"), 1, 30)
     return out.select("id", "edge_type", "src", "dst", "depth", F.col("found").cast("long").alias("found"), F.lit(truncated).alias("truncated"))
 
 
 def adjacency(spark, folder) -> DataFrame:
-    e = model.edges(spark, folder)
+    e = model.edge_lines(spark, folder)
     root = busiest(model.symbols(spark, folder), e, "dst")
     out = graph.outbound(e, root).select("edge_type", F.lit("out").alias("way"), F.col("dst").alias("other"))
     return out.unionByName(graph.inbound(e, root).select("edge_type", F.lit("in").alias("way"), F.col("src").alias("other")))
 
 
 def outbound_reachable(spark, folder) -> DataFrame:
-    e = model.edges(spark, folder)
+    e = model.edge_lines(spark, folder)
     return graph.reachable(e, busiest(model.symbols(spark, folder), e, "src"), 4)
 
 
 def hybrid_graph_knn(spark, folder) -> DataFrame:
-    s, e = model.symbols(spark, folder), model.edges(spark, folder)
+    s, e = model.symbols(spark, folder), model.edge_lines(spark, folder)
     return graph.reachable_nearest(s, e, busiest(s, e, "src"), 3, symbol_vector(s), 20)
 
 
 def impact_counts(spark, folder) -> DataFrame:
-    n, e = model.nodes(spark, folder), model.edges(spark, folder)
+    n, e = model.nodes(spark, folder), model.edge_lines(spark, folder)
     out, _ = graph.neighbourhood(n, e, busiest(model.symbols(spark, folder), e, "dst"), 2, None)
     return out.groupBy("kind", "depth").agg(F.count("*").alias("n"))
 
 
 def concerns_for_task(spark, folder) -> DataFrame:
-    return graph.task_links(model.symbols(spark, folder), model.edges(spark, folder))
+    return graph.task_links(model.symbols(spark, folder), model.edge_lines(spark, folder))
 
 
 def tasks_for_symbols(spark, folder) -> DataFrame:
-    return graph.concerns_in_file(model.symbols(spark, folder), model.edges(spark, folder))
+    return graph.concerns_in_file(model.symbols(spark, folder), model.edge_lines(spark, folder))
 
 
 def links_of_tasks(spark, folder) -> DataFrame:
-    return graph.links_of_tasks(table(spark, folder, "backlog_item"), model.symbols(spark, folder), model.edges(spark, folder))
+    return graph.links_of_tasks(table(spark, folder, "backlog_item"), model.symbols(spark, folder), model.edge_lines(spark, folder))
 
 
 QUERIES = {

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text, vector
@@ -14,9 +13,16 @@ KINDS = ("function", "class", "interface")
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The newest row of each key."""
-    by = W.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.where(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(by)).where("_row = 1").drop("_row")
+    """The newest row of each key of a table of files.
+
+    The choice is made on the key, the order and the row's place in its file alone, and only keys that stand there more than once
+    are joined back: other columns are neither read for it nor moved, and filters on the result reach the scan."""
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    rows = df.where(F.col(key).isNotNull())
+    newest = rows.select(key, F.struct(*order, *place).alias("_new")).groupBy(key).agg(F.max("_new").alias("_new"), F.count("*").alias("_times")).where("_times > 1")
+    chosen = newest.select(F.col(key).alias("_key"), F.col("_new._file").alias("_new_file"), F.col("_new._at").alias("_new_at"))
+    joined = rows.select("*", *place).join(chosen, F.col(key) == F.col("_key"), "left")
+    return joined.where("_new_at is null or (_new_at = _at and _new_file = _file)").select(*df.columns)
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +35,14 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "code_file"), "id", "loaded_at", "deleted_at")
 
 
+def edge_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges as they were delivered, some twice; enough where only distinct links matter."""
+    return table(spark, folder, "edges").where(F.col("edge_type").isin(*EDGE_TYPES))
+
+
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges, each delivered line once."""
-    return table(spark, folder, "edges").where(F.col("edge_type").isin(*EDGE_TYPES)).distinct()
+    return edge_lines(spark, folder).distinct()
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
