@@ -101,10 +101,17 @@ def overall_score(agents: DataFrame) -> DataFrame:
 
 
 def hammering(events: DataFrame, seconds: int = HAMMER_SECONDS, calls: int = HAMMER_CALLS) -> DataFrame:
-    """agent_role, tool_name: the first tool by name that a role called `calls` times within `seconds` (whole epoch seconds)."""
-    e = events.select(F.coalesce("agent_role", F.lit("anonymous")).alias("agent_role"), "tool_name", F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("at")).where("at is not null")
-    by = W.partitionBy("agent_role", "tool_name").orderBy("at")
-    hit = e.withColumn("span", F.col("at") - F.lag("at", calls - 1).over(by)).where(F.col("span") <= seconds)
+    """agent_role, tool_name: the first tool by name that a role called `calls` times within `seconds` (whole epoch seconds).
+
+    Calls are counted by second first. A second's calls go into the slot of `seconds` it lies in and into the next one, so each
+    slot holds all that its calls may be counted with, and no role or tool is one task."""
+    at = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
+    e = events.select(F.coalesce("agent_role", F.lit("anonymous")).alias("agent_role"), "tool_name", at.alias("at")).where("at is not null")
+    counted = e.groupBy("agent_role", "tool_name", "at").agg(F.count("*").alias("n"))
+    slot = F.floor(F.col("at") / seconds)
+    slots = counted.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    by = W.partitionBy("agent_role", "tool_name", "slot").orderBy("at").rangeBetween(-seconds, 0)
+    hit = slots.withColumn("within", F.sum("n").over(by)).where(F.col("within") >= calls)
     return hit.groupBy("agent_role").agg(F.min("tool_name").alias("tool_name"))
 
 
@@ -131,21 +138,42 @@ def recommendations(agents: DataFrame, found: DataFrame) -> DataFrame:
     return few.unionByName(session)
 
 
-def latency_percentiles(events: DataFrame) -> DataFrame:
-    """tool_name, p50, p95, p99: of n sorted samples that at place floor(n * p / 100), from 0.
+#: percentile_approx is off by a rank of 1 / ACCURACY of the rows at most; brackets are SLACK times as wide on either side.
+ACCURACY, SLACK = 10_000, 5
+
+
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """group, n, and for each name of `ranks` the value at a place, from 0, of the group's sorted values; ranks: the share of the rows
+    near which the place lies, and the place as an expression over n. Null values are left out.
 
-    By ranks over a window, so no tool's samples meet in one array."""
-    by = W.partitionBy("tool_name")
-    ranked = events.where("elapsed_ms is not null").select("tool_name", "elapsed_ms", F.row_number().over(by.orderBy("elapsed_ms")).alias("r"), F.count("*").over(by).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p / 100) + 1, F.col("n")), F.col("elapsed_ms"))).alias(f"p{p}")
-    return ranked.groupBy("tool_name").agg(at(50), at(95), at(99))
+    Exact, and no group is sorted in one task: approximate percentiles bracket each place, what lies below a bracket is counted,
+    and only the distinct values inside it, some thousandth of the group, are ranked."""
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).alias("v"))
+    shares = [min(max(share + side * SLACK / ACCURACY, 0.0), 1.0) for share, _ in ranks.values() for side in (-1, 1)]
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("v", shares, ACCURACY).alias("cuts"))
+    cut = rows.join(sizes, group)
+    inside = [F.when((F.col("v") >= F.col("cuts")[2 * k]) & (F.col("v") <= F.col("cuts")[2 * k + 1]), F.lit(k)) for k in range(len(ranks))]
+    below = [F.count_if(F.col("v") < F.col("cuts")[2 * k]).alias(f"below_{k}") for k in range(len(ranks))]
+    lower = cut.groupBy(group).agg(F.first("n").alias("n"), *below)
+    marked = cut.select(group, "v", F.explode(F.filter(F.array(*inside), lambda k: k.isNotNull())).alias("k")).groupBy(group, "k", "v").agg(F.count("*").alias("m"))
+    places = F.array(*[place.cast("long") - F.col(f"below_{k}") for k, (_, place) in enumerate(ranks.values())])
+    upto = F.sum("m").over(W.partitionBy(group, "k").orderBy("v"))
+    found = marked.withColumn("upto", upto).join(lower.select(group, "n", places.alias("places")), group).where(F.col("upto") > F.col("places")[F.col("k")])
+    picked = [F.min(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(ranks)]
+    return found.groupBy(group).agg(F.first("n").alias("n"), *picked)
+
+
+def latency_percentiles(events: DataFrame) -> DataFrame:
+    """tool_name, p50, p95, p99: of n sorted samples that at place floor(n * p / 100), from 0."""
+    place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+    return at_ranks(events, "tool_name", "elapsed_ms", {f"p{p}": (p / 100, place(p)) for p in (50, 95, 99)}).select("tool_name", "p50", "p95", "p99")
 
 
 def query_timing(events: DataFrame) -> DataFrame:
     """tool_name, total, slow_count (SLOW_MS or more), avg_ms, p95_ms (nearest rank)."""
-    return events.where("elapsed_ms is not null").groupBy("tool_name").agg(
-        F.count("*").alias("total"), F.count_if(F.col("elapsed_ms") >= SLOW_MS).alias("slow_count"), F.round(F.avg("elapsed_ms"), 6).alias("avg_ms"), F.expr("percentile_disc(0.95) within group (order by elapsed_ms)").alias("p95_ms")
-    )
+    nearest = at_ranks(events, "tool_name", "elapsed_ms", {"p95_ms": (0.95, F.ceil(F.col("n") * 95 / 100) - 1)}).select("tool_name", "p95_ms")
+    sums = events.where("elapsed_ms is not null").groupBy("tool_name").agg(F.count("*").alias("total"), F.count_if(F.col("elapsed_ms") >= SLOW_MS).alias("slow_count"), F.round(F.avg("elapsed_ms"), 6).alias("avg_ms"))
+    return sums.join(nearest, "tool_name").select("tool_name", "total", "slow_count", "avg_ms", "p95_ms")
 
 
 def recent(events: DataFrame, keep: int = RING) -> DataFrame:
@@ -168,22 +196,36 @@ def rolling_rate(events: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
 
 def rate_limited(events: DataFrame, calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
     """event_id, accepted: a connection's attempt is accepted while fewer than `calls` accepted ones lie in the last `seconds`;
-    rejected attempts do not count. The verdict feeds back, so each connection is one sequential pass in its own order."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        held: list[int] = []
-        out = np.zeros(len(pdf), bool)
-        first = 0
-        for k, t in enumerate(pdf["at"].to_numpy()):
-            while first < len(held) and held[first] <= t - seconds * 1_000_000:
-                first += 1
-            if len(held) - first < calls:
-                held.append(t)
-                out[k] = True
-        return pd.DataFrame({"event_id": pdf["event_id"], "accepted": out})
-
-    slim = events.select("event_id", "connection_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"))
-    return slim.groupBy("connection_id").applyInPandas(run, "event_id long, accepted boolean")
+    rejected attempts do not count.
+
+    The verdict feeds back, so attempts are passed in order, but only as far as they can matter: after a pause of `seconds` a
+    connection begins anew, so stretches between pauses are told apart by the occupied slots of time, and each is a stream
+    of its own, of which a task holds no more than the last `calls` accepted times. Events without a time are not accepted."""
+    from collections import deque
+
+    import pyarrow as pa
+
+    def run(batches):
+        now, held = None, deque()
+        for b in batches:
+            out = []
+            for stretch, t in zip(zip(b.column(1).to_pylist(), b.column(2).to_pylist()), b.column(3).to_pylist()):
+                if stretch != now:
+                    now, held = stretch, deque()
+                while held and t is not None and held[0] <= t - seconds * 1_000_000:
+                    held.popleft()
+                ok = t is not None and len(held) < calls
+                if ok:
+                    held.append(t)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], ["event_id", "accepted"])
+
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    slim = events.select("event_id", F.coalesce("connection_id", F.lit("")).alias("connection"), at.alias("at"), F.floor(at / (seconds * 1_000_000)).alias("slot"))
+    slots = slim.select("connection", "slot").distinct()
+    by = W.partitionBy("connection").orderBy("slot")
+    fresh = F.coalesce(F.col("slot") - F.lag("slot").over(by) > 1, F.lit(True)).cast("long")
+    stretches = slots.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(by)).select("connection", "slot", "stretch")
+    placed = slim.join(stretches.withColumnRenamed("slot", "s").withColumnRenamed("connection", "c"), (F.col("connection") == F.col("c")) & F.col("slot").eqNullSafe(F.col("s"))).select("event_id", "connection", "stretch", "at")
+    ordered = placed.repartition("connection", "stretch").sortWithinPartitions("connection", "stretch", "at", "event_id")
+    return ordered.mapInArrow(run, "event_id long, accepted boolean")

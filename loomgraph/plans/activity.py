@@ -9,7 +9,9 @@ from loomgraph.functions import text, vector
 from loomgraph.operators import calibration, changes, commits, extract, graph, policy, telemetry
 from loomgraph.plans import sqlparts as Q
 from loomgraph.sources import model
+from loomgraph.sources.files import MAX_FILE_BYTES
 from loomgraph.sources.tables import table
+from loomgraph.streaming import watch
 
 SINCE, UNTIL = "2024-06-01T00:00:00Z", "2025-03-01T00:00:00Z"
 HAMMER_DAYS = 30
@@ -47,16 +49,21 @@ def efficiency_score(spark, folder) -> DataFrame:
 
 def anomalies(spark, folder) -> DataFrame:
     e = model.usage_events(spark, folder)
-    return telemetry.anomalies(telemetry.efficiency(e), telemetry.hammering(e, HAMMER_DAYS * 86_400)).select("anomaly_type", "severity", "agent_role")
+    return telemetry.anomalies(telemetry.efficiency(e), telemetry.hammering(e))
 
 
 def recommendations(spark, folder) -> DataFrame:
     e = model.usage_events(spark, folder)
     a = telemetry.efficiency(e)
-    return telemetry.recommendations(a, telemetry.anomalies(a, telemetry.hammering(e, HAMMER_DAYS * 86_400)))
+    return telemetry.recommendations(a, telemetry.anomalies(a, telemetry.hammering(e)))
 
 
 def tool_hammering(spark, folder) -> DataFrame:
+    return telemetry.hammering(model.usage_events(spark, folder))
+
+
+def tool_hammering_month(spark, folder) -> DataFrame:
+    """The same within HAMMER_DAYS days: the events of the tables are too far apart for a minute."""
     return telemetry.hammering(model.usage_events(spark, folder), HAMMER_DAYS * 86_400)
 
 
@@ -144,7 +151,7 @@ def deleted_files(spark, folder) -> DataFrame:
 
 def sync_states(spark, folder) -> DataFrame:
     disk = _disk(spark, folder).select(F.col("file_path").alias("path"), text.language_of(F.col("file_path")).alias("language"), "size_bytes", "content_hash")
-    return changes.sync_states(disk, _stored(spark, folder).select(F.col("file_path").alias("path"), "content_hash"), ("rust", "python"), 100_000)
+    return changes.sync_states(disk, _stored(spark, folder).select(F.col("file_path").alias("path"), "content_hash"), ("rust", "python"), MAX_FILE_BYTES)
 
 
 def carry_forward(spark, folder) -> DataFrame:
@@ -155,7 +162,7 @@ def carry_forward(spark, folder) -> DataFrame:
 
 def relink_concerns(spark, folder) -> DataFrame:
     s = model.symbols(spark, folder)
-    c = graph.links(model.edges(spark, folder), ("concerns",)).select(F.col("src").alias("task"), F.col("dst").alias("id"))
+    c = graph.links(model.edge_lines(spark, folder), ("concerns",)).select(F.col("src").alias("task"), F.col("dst").alias("id"))
     old = s.where("deleted_at is not null").select("id", "name", "body_hash", "file_path", "kind")
     return changes.relink(c.join(old, "id"), s.where("deleted_at is null"))
 
@@ -247,9 +254,18 @@ def path_filters(spark, folder) -> DataFrame:
 
 def edit_bursts(spark, folder) -> DataFrame:
     """Events of a user less than half an hour apart, as one burst."""
-    e = model.usage_events(spark, folder)
-    w = e.groupBy("connection_id", F.session_window("timestamp", "30 minutes").alias("w")).agg(F.count("*").alias("events"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
-    return w.select("connection_id", "events", "first_at", "last_at")
+    return watch.bursts(model.usage_events(spark, folder), "30 minutes", key="connection_id")
+
+
+def sync_bursts(spark, folder) -> DataFrame:
+    """All events as one watcher's, parted by pauses of two seconds or more."""
+    return watch.bursts(model.usage_events(spark, folder))
+
+
+def debounced_edits(spark, folder) -> DataFrame:
+    """Events as edits of one path per user: bursts of half an hour, as their last event's kind."""
+    e = model.usage_events(spark, folder).select(F.col("connection_id").alias("path"), F.col("tool_name").alias("kind"), "timestamp")
+    return watch.debounced(e, "30 minutes")
 
 
 def parse_symbols(spark, folder) -> DataFrame:
@@ -260,22 +276,42 @@ def parse_edges(spark, folder) -> DataFrame:
     return extract.edges_of(table(spark, folder, "source_file"))
 
 
+# Two files whose calls and implementations resolve within each: no callee of the tables is defined in its own file.
+PLANTED = {
+    "lib.rs": "use crate::base;\npub fn run(n: u32) -> u32 {\n    let x = load(n);\n    store(x)\n}\nfn load(n: u32) -> u32 {\n    n + 1\n}\nfn store(n: u32) -> u32 {\n    load(n) + elsewhere(n)\n}\n",
+    "two.rs": "fn load() -> u32 { near() }\nfn near() -> u32 { 1 }\n",
+    "shapes.rs": "pub trait Area {\n    fn area(&self) -> f64;\n}\npub struct Circle { r: f64 }\npub struct Square { s: f64 }\nimpl Area for Circle {\n    fn area(&self) -> f64 { self.r }\n}\nimpl Area for Square {\n    fn area(&self) -> f64 { self.s }\n}\nimpl Display for Square {\n    fn fmt(&self) {}\n}\n",
+}
+
+
+def _parsed(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of all sources, and of the planted ones."""
+    planted = spark.createDataFrame(list(PLANTED.items()), "path string, source string")
+    files = table(spark, folder, "source_file").select("path", "source").unionByName(planted)
+    s = extract.symbols_of(files).select(F.col("path").alias("file_path"), "kind", "name", "line_start", F.concat_ws(":", "path", "name", "line_start").alias("id"))
+    return s, extract.edges_of(files).withColumnRenamed("path", "file_path")
+
+
 def resolve_calls(spark, folder) -> DataFrame:
     """Calls of the parsed sources resolved to functions of the same file."""
-    files = table(spark, folder, "source_file")
-    s = extract.symbols_of(files).select(F.col("path").alias("file_path"), "kind", "name", "line_start", F.concat_ws(":", "path", "name", "line_start").alias("id"))
-    e = extract.edges_of(files).where("edge_type = 'calls'").select(F.col("path").alias("file_path"), F.col("src").alias("caller"), F.col("dst").alias("callee"))
-    return changes.link_calls(e, s)
+    s, e = _parsed(spark, folder)
+    return changes.link_calls(e.where("edge_type = 'calls'").select("file_path", F.col("src").alias("caller"), F.col("dst").alias("callee")), s)
+
+
+def resolve_impls(spark, folder) -> DataFrame:
+    """Implementations of the parsed sources resolved to structs and traits of the same file."""
+    s, e = _parsed(spark, folder)
+    return changes.link_impls(e.where("edge_type = 'inherits_from'").select("file_path", F.col("src").alias("struct"), F.col("dst").alias("trait")), s)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        usage_summary_by_tool, usage_totals, usage_top_tools, branch_compare, token_report, agent_efficiency, efficiency_score, anomalies, recommendations, tool_hammering,
+        usage_summary_by_tool, usage_totals, usage_top_tools, branch_compare, token_report, agent_efficiency, efficiency_score, anomalies, recommendations, tool_hammering, tool_hammering_month,
         latency_percentiles, query_timing_p95, recent_events_ring, rolling_samples, rolling_rate, rate_limited, policy_decisions, session_join, purpose_calibration, codebase_context,
         change_detection, change_counts, deleted_files, sync_states, carry_forward, relink_concerns, symbols_by_name_hash, upsert_symbols, dangling_edges, gc_vectors, finite_check,
         commits_by_file, commits_by_range, latest_commit, commit_change_totals, commit_changes_by_type, commits_of_symbols, commits_after_watermark, commit_patches,
-        tier_classification, body_slices, path_filters, edit_bursts, parse_symbols, parse_edges, resolve_calls,
+        tier_classification, body_slices, path_filters, edit_bursts, sync_bursts, debounced_edits, parse_symbols, parse_edges, resolve_calls, resolve_impls,
     )
 }
 
@@ -286,9 +322,10 @@ _AGENT = f"""WITH {Q.EVENT}, agent AS (
   FROM event GROUP BY 1),
 scored AS (SELECT *, 0.4::DOUBLE * (1.0 - least(tokens_per_result / 1000.0, 1.0)) + 0.3::DOUBLE * (1.0 - error_rate) + 0.15::DOUBLE * least(tool_diversity / 2.0, 1.0) + 0.15::DOUBLE AS score FROM agent),
 gaps AS (SELECT coalesce(agent_role, 'anonymous') AS agent_role, tool_name, floor(epoch(timestamp)) - lag(floor(epoch(timestamp)), 20) OVER (PARTITION BY coalesce(agent_role, 'anonymous'), tool_name ORDER BY floor(epoch(timestamp))) AS span FROM event),
-hammer AS (SELECT agent_role, min(tool_name) AS tool_name FROM gaps WHERE span <= {HAMMER_DAYS * 86_400} GROUP BY 1),
-odd AS (SELECT 'token_ratio_spike' AS anomaly_type, 'warning' AS severity, agent_role FROM agent WHERE tokens_per_result > 10.0
-  UNION ALL SELECT 'error_burst', 'critical', agent_role FROM agent WHERE error_rate > 0.3::DOUBLE UNION ALL SELECT 'tool_hammering', 'warning', agent_role FROM hammer)
+hammer AS (SELECT agent_role, min(tool_name) AS tool_name FROM gaps WHERE span <= 60 GROUP BY 1),
+odd AS (SELECT 'token_ratio_spike' AS anomaly_type, 'warning' AS severity, agent_role, printf('Agent ''%s'' tokens-per-result %.1f exceeds threshold 10.0', agent_role, tokens_per_result) AS description FROM agent WHERE tokens_per_result > 10.0
+  UNION ALL SELECT 'error_burst', 'critical', agent_role, printf('Agent ''%s'' error rate %.0f%% exceeds threshold 30%%', agent_role, error_rate * 100) FROM agent WHERE error_rate > 0.3::DOUBLE
+  UNION ALL SELECT 'tool_hammering', 'warning', agent_role, printf('Agent ''%s'' called ''%s'' 21 times within 60 seconds', agent_role, tool_name) FROM hammer)
 """
 _DISK = "disk AS (SELECT path, sha256(max(source)) AS content_hash, strlen(max(source)) AS size_bytes FROM source_file WHERE source IS NOT NULL AND path IS NOT NULL GROUP BY 1)"
 _CHANGE = f"""WITH {Q.FILE}, {_DISK}, change AS (SELECT coalesce(f.path, d.path) AS path,
@@ -320,6 +357,12 @@ SQL = {
     "recommendations": _AGENT + """SELECT 'use_more_tools' AS kind, agent_role FROM agent WHERE tool_diversity < 2 UNION ALL
       SELECT DISTINCT CASE anomaly_type WHEN 'token_ratio_spike' THEN 'use_targeted_lookups' ELSE 'cache_results' END, NULL::VARCHAR FROM odd WHERE anomaly_type <> 'error_burst'""",
     "tool_hammering": _AGENT + "SELECT * FROM hammer",
+    "tool_hammering_month": _AGENT + f"SELECT agent_role, min(tool_name) AS tool_name FROM gaps WHERE span <= {HAMMER_DAYS * 86_400} GROUP BY 1",
+    "rate_limited": f"""WITH RECURSIVE {Q.EVENT}, o AS (SELECT event_id, connection_id AS c, epoch_us(timestamp) AS us, row_number() OVER (PARTITION BY connection_id ORDER BY timestamp, event_id) AS k FROM event),
+      r AS (SELECT event_id, c, k, true AS accepted, [us] AS held FROM o WHERE k = 1 UNION ALL
+        SELECT o.event_id, o.c, o.k, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, o.us) ELSE kept END
+        FROM (SELECT c, k + 1 AS k, held FROM r) p JOIN o USING (c, k), LATERAL (SELECT list_filter(p.held, lambda h: h > o.us - 7200000000) AS kept) l)
+      SELECT event_id, accepted FROM r""",
     "latency_percentiles": f"""WITH {Q.EVENT}, l AS (SELECT tool_name, list_sort(list(elapsed_ms)) AS v, count(*) AS n FROM event WHERE elapsed_ms IS NOT NULL GROUP BY 1)
       SELECT tool_name, v[least(n * 50 // 100 + 1, n)] AS p50, v[least(n * 95 // 100 + 1, n)] AS p95, v[least(n * 99 // 100 + 1, n)] AS p99 FROM l""",
     "query_timing_p95": f"WITH {Q.EVENT} SELECT tool_name, count(*) AS total, count(*) FILTER (WHERE elapsed_ms >= 100) AS slow_count, round(avg(elapsed_ms), 6) AS avg_ms, quantile_disc(elapsed_ms, 0.95) AS p95_ms FROM event GROUP BY 1",
@@ -340,7 +383,7 @@ SQL = {
     "change_detection": _CHANGE + " SELECT * FROM change WHERE kind IS NOT NULL",
     "change_counts": _CHANGE + " SELECT kind, count(*) AS n FROM change WHERE kind IS NOT NULL GROUP BY 1",
     "deleted_files": f"WITH {Q.FILE}, {_DISK} SELECT path AS file_path FROM file WHERE path NOT IN (SELECT path FROM disk)",
-    "sync_states": f"""WITH {Q.FILE}, {_DISK} SELECT d.path, CASE WHEN d.size_bytes = 0 THEN 'empty' WHEN d.size_bytes > 100000 THEN 'oversized' WHEN {_EXT.format('d.path')} NOT IN ('rust', 'python') THEN 'other_language'
+    "sync_states": f"""WITH {Q.FILE}, {_DISK} SELECT d.path, CASE WHEN d.size_bytes = 0 THEN 'empty' WHEN d.size_bytes > 1048576 THEN 'oversized' WHEN {_EXT.format('d.path')} NOT IN ('rust', 'python') THEN 'other_language'
       WHEN f.content_hash = d.content_hash THEN 'unchanged' ELSE 'parse' END AS status FROM disk d LEFT JOIN file f ON f.path = d.path""",
     "carry_forward": f"WITH {Q.SYM}, {_OLD} SELECT id, EXISTS (SELECT 1 FROM old WHERE old.name = new.name AND old.body_hash = new.body_hash AND len(list_filter(old.embedding, lambda v: abs(v) > 1.1920929e-7)) > 0) AS reused FROM new",
     "relink_concerns": f"""WITH {Q.SYM}, {Q.LINK}, {_OLD}, a AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY name, body_hash ORDER BY file_path, id) = 1), b AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY name, file_path, kind ORDER BY line_start, id) = 1)
@@ -361,8 +404,8 @@ SQL = {
     "commits_after_watermark": f"WITH {Q.COMMIT} SELECT hash, committed_at FROM commits WHERE committed_at > (SELECT max(committed_at) FROM commits WHERE committed_at <= TIMESTAMP '2025-03-01')",
     "commit_patches": f"""WITH {Q.COMMIT}, c AS (SELECT hash, unnest(range(len(changes)))::INTEGER AS place, unnest(list_transform(changes, lambda x: coalesce(x.diff_snippet, ''))) AS d FROM commits),
       l AS (SELECT *, string_split(d, chr(10)) AS lines FROM c)
-      SELECT hash, place, CASE WHEN len(lines) > 2 THEN array_to_string(lines[1:2], chr(10)) || chr(10) || '[diff truncated]' || chr(10) ELSE d END AS snippet,
-        len(list_filter(lines[1:2], lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS lines_added, len(list_filter(lines[1:2], lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS lines_removed FROM l""",
+      SELECT hash, place, CASE WHEN len(lines) > 500 THEN array_to_string(lines[1:500], chr(10)) || chr(10) || '[diff truncated]' || chr(10) ELSE d END AS snippet,
+        len(list_filter(lines[1:500], lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS lines_added, len(list_filter(lines[1:500], lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS lines_removed FROM l""",
     "tier_classification": """WITH f AS (SELECT DISTINCT fn_id, coalesce(signature, '') AS signature, coalesce(docstring, '') AS docstring, body, strlen(body) // 4 AS tokens, left(array_to_string(string_split(coalesce(body, ''), chr(10))[1:5], chr(10)), 256) AS preview FROM extracted_function)
       SELECT fn_id, tokens, CASE WHEN tokens <= 512 THEN 'explicit_code' ELSE 'summary_pointer' END AS embed_type,
         sha256(CASE WHEN tokens <= 512 THEN body WHEN docstring <> '' THEN signature || chr(10) || chr(10) || docstring WHEN preview <> '' THEN signature || chr(10) || chr(10) || preview ELSE signature END) AS summary_hash FROM f""",
@@ -371,6 +414,13 @@ SQL = {
       SELECT fn_id, ltrim(replace(again, chr(9), ' ')) = replace(body, chr(9), ' ') AS same FROM b""",
     "path_filters": f"""WITH {Q.FILE} SELECT id, regexp_matches(path, '(^|/)(\\.loomgraph|\\.git|node_modules|target|\\.env)(/|$)') AS excluded, regexp_matches(path, '^(\\.loomgraph|\\.git|node_modules|target|\\.env)(/|$)') AS excluded_at_root,
       regexp_matches(path, '^crates/.*/src/.*[.](rs|py)$') AS globbed, ends_with(path, '_test.rs') AS named FROM file""",
+    "sync_bursts": f"""WITH {Q.EVENT}, g AS (SELECT timestamp, coalesce(timestamp - lag(timestamp) OVER (ORDER BY timestamp) >= INTERVAL 2 SECOND, true)::INTEGER AS cut FROM event),
+      s AS (SELECT *, sum(cut) OVER (ORDER BY timestamp) AS burst FROM g) SELECT count(*) AS events, min(timestamp) AS first_at, max(timestamp) AS last_at FROM s GROUP BY burst""",
+    "debounced_edits": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
+      s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY connection_id ORDER BY timestamp) AS burst FROM g)
+      SELECT connection_id AS path, arg_max(tool_name, timestamp) AS kind, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS events FROM s GROUP BY connection_id, burst""",
+    "resolve_calls": "SELECT * FROM (VALUES ('lib.rs:run:2', 'lib.rs:load:6'), ('lib.rs:run:2', 'lib.rs:store:9'), ('lib.rs:store:9', 'lib.rs:load:6'), ('two.rs:load:1', 'two.rs:near:2')) v(src, dst)",
+    "resolve_impls": "SELECT * FROM (VALUES ('shapes.rs:Circle:4', 'shapes.rs:Area:1'), ('shapes.rs:Square:5', 'shapes.rs:Area:1')) v(src, dst)",
     "edit_bursts": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
       s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY connection_id ORDER BY timestamp) AS burst FROM g) SELECT connection_id, count(*) AS events, min(timestamp) AS first_at, max(timestamp) AS last_at FROM s GROUP BY connection_id, burst""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
@@ -51,11 +51,22 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE) -> DataF
     return w.select("path", "kind", "first_at", "last_at", "events")
 
 
-def bursts(events: DataFrame, gap: str = QUIET, late: str = LATE) -> DataFrame:
-    """first_at, last_at, events: all events until `gap` passes without one; each burst calls for one synchronisation."""
-    e = events.withWatermark("timestamp", late) if events.isStreaming else events
-    w = e.groupBy(F.session_window("timestamp", gap).alias("w")).agg(F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), F.count("*").alias("events"))
-    return w.select("first_at", "last_at", "events")
+def bursts(events: DataFrame, gap: str = QUIET, late: str = LATE, key: str | None = None) -> DataFrame:
+    """first_at, last_at, events: all events until `gap` passes without one, of each value of `key` if there is one; each burst
+    calls for one synchronisation.
+
+    A table is first counted by slots of `gap`, two of which can only part where the pause between them is long enough, so that
+    only occupied slots are put in order. A stream does it by session windows, with bounded state."""
+    keys = [key] if key else []
+    if events.isStreaming:
+        w = events.withWatermark("timestamp", late).groupBy(*keys, F.session_window("timestamp", gap).alias("w")).agg(F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), F.count("*").alias("events"))
+        return w.select(*keys, "first_at", "last_at", "events")
+    # Within a slot two neighbours are less than `gap` apart.
+    slots = events.where("timestamp is not null").groupBy(*keys, F.window(F.col("timestamp").cast("timestamp"), gap).alias("w")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
+    by = Window.partitionBy(*keys).orderBy("a")
+    fresh = F.coalesce(F.col("a") >= F.lag("b").over(by) + F.expr(f"interval {gap}"), F.lit(True)).cast("long")
+    w = slots.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(by)).groupBy(*keys, "burst").agg(F.min("a").alias("first_at"), F.max("b").alias("last_at"), F.sum("n").alias("events"))
+    return w.select(*keys, "first_at", "last_at", "events")
 
 
 def usage(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -64,10 +75,10 @@ def usage(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Dat
     return raw.where("tool_name is not null and timestamp is not null").na.fill({"outcome": "success"})
 
 
-def windowed_usage(events: DataFrame, width: str = "10 minutes", late: str = LATE) -> DataFrame:
-    """tool_name, starts_at, calls, tokens per time window."""
+def windowed_usage(events: DataFrame, width: str = "10 minutes", late: str | None = LATE) -> DataFrame:
+    """tool_name, starts_at, calls, tokens per time window; late None keeps all windows open, for sources that end."""
     e = events.withColumn("at", F.to_timestamp("timestamp"))
-    e = e.withWatermark("at", late) if e.isStreaming else e
+    e = e.withWatermark("at", late) if e.isStreaming and late else e
     w = e.groupBy("tool_name", F.window("at", width).alias("w")).agg(F.count("*").alias("calls"), F.sum("estimated_tokens").alias("tokens"))
     return w.select("tool_name", F.col("w.start").alias("starts_at"), "calls", "tokens")
 
