@@ -1,9 +1,10 @@
 """References to records that are not there: range-partitioned keys, sorted parent arrays, binary search.
 
-Keys are placed on a line by a 64-bit hash and cut into equal ranges, so ranges are even without sampling; their
-number follows the number of references. A range that many references fall into (a hot id) is cut again into lanes, by
-the measured count; its parents, which are few, go to every lane. Each task gets one lane: the parents as sorted arrays, the references as one Arrow batch,
-probed with binary search. Only misses leave the task.
+Keys are placed on a line by a 64-bit hash and cut into equal ranges, so ranges are even without sampling; there are as many
+as the references call for. A range that more references fall into than a task should hold (a hot id) is cut again into lanes, by
+the measured count; its parents, which are as few as any range's, go to every lane. Each task gets one lane: the parents as
+arrays sorted by hash and id, the references as one Arrow batch, probed by binary search over the hashes and told apart by
+the ids. Only misses leave the task.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges are counted in 2^COUNT_BITS cells at most; that many rows come to the driver, whatever the input.
-COUNT_BITS = 16
+from loomgraph.session import stage
+
 LEAST_BITS = 4
 LANE_ROWS = 150_000
 
@@ -51,11 +53,38 @@ def _micros(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(0)).copy(), null
 
 
+class Keys:
+    """Distinct ids as arrays sorted by hash and id."""
+
+    def __init__(self, hashes: np.ndarray, ids: pa.Array):
+        """Both in the order of hash and id."""
+        unlike = np.asarray(pc.not_equal(ids[1:], ids[:-1])) if len(ids) > 1 else np.zeros(0, bool)
+        first = np.r_[True, (hashes[1:] != hashes[:-1]) | unlike] if len(ids) else np.zeros(0, bool)
+        self.number = np.cumsum(first) - 1  # of each row's id
+        self.hashes, self.ids = hashes[first], ids.filter(pa.array(first))
+
+    def find(self, hashes: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each id, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        there = np.zeros(len(at), bool)
+        open_ = np.arange(len(at))
+        while len(open_):  # a second round only for hashes that several ids have
+            open_ = open_[at[open_] < len(self.hashes)]
+            open_ = open_[self.hashes[at[open_]] == hashes[open_]]
+            same = np.asarray(pc.equal(self.ids.take(pa.array(at[open_])), ids.take(pa.array(open_))))
+            there[open_[same]] = True
+            open_ = open_[~same]
+            at[open_] += 1
+        return np.minimum(at, max(len(self.hashes) - 1, 0)), there
+
+
 def _probe(refs: pa.Table, known: pa.Table) -> pa.Table:
     """The misses among refs, with their state."""
     state = np.full(refs.num_rows, "missing", dtype=object)
     if known.num_rows and refs.num_rows:
-        keys, ids = np.unique(known["id"].to_numpy(), return_inverse=True)
+        known = known.take(pc.sort_indices(known, sort_keys=[("hash", "ascending"), ("id", "ascending")]))
+        keys = Keys(np.asarray(known["hash"]), known["id"].combine_chunks())
+        ids = keys.number
         loaded, no_load = _micros(known["loaded_at"])
         deleted, no_end = _micros(known["deleted_at"])
         deleted[no_end] = _FOREVER
@@ -69,12 +98,10 @@ def _probe(refs: pa.Table, known: pa.Table) -> pa.Table:
         latest = deleted.copy()  # of each id, the latest end so far
         first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
         starts = np.flatnonzero(first)
-        for a, b in zip(starts, np.r_[starts[1:], len(owner)]):
-            if b - a > 1:
-                latest[a:b] = np.maximum.accumulate(deleted[a:b])
-        names = refs["ref_id"].to_numpy()
-        at = np.searchsorted(keys, names)
-        there = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == names)
+        lengths = np.diff(np.r_[starts, len(owner)])
+        for a, n in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist()):
+            latest[a : a + n] = np.maximum.accumulate(deleted[a : a + n])
+        at, there = keys.find(np.asarray(refs["hash"]), refs["ref_id"].combine_chunks())
         rank = np.searchsorted(times, asked, side="right")
         last = np.searchsorted(place, at * width + rank, side="right") - 1
         seen = there & (last >= 0)
@@ -82,7 +109,7 @@ def _probe(refs: pa.Table, known: pa.Table) -> pa.Table:
             seen &= owner[np.maximum(last, 0)] == at
             alive = seen & (latest[np.maximum(last, 0)] > asked)
         else:
-            alive = seen = np.zeros(len(names), bool)
+            alive = seen = np.zeros(len(at), bool)
         state[there] = np.where(seen[there], "deleted", "late")
         state[there & (alive | no_time)] = ""
     miss = state != ""
@@ -98,17 +125,6 @@ def _probe(refs: pa.Table, known: pa.Table) -> pa.Table:
     )
 
 
-def ranges(counts: dict[int, int], lane_rows: int) -> tuple[int, dict[int, int]]:
-    """The bits of a range number, and the lanes of the ranges that need more than one. counts: references by fine cell."""
-    total = sum(counts.values())
-    bits = min(COUNT_BITS, max(LEAST_BITS, (-(-total // lane_rows)).bit_length()))
-    held: dict[int, int] = {}
-    for cell, n in counts.items():
-        c = cell >> (COUNT_BITS - bits)
-        held[c] = held.get(c, 0) + n
-    return bits, {c: -(-n // lane_rows) for c, n in held.items() if n > lane_rows}
-
-
 def orphans(edges: DataFrame, tables: Iterable[DataFrame], lane_rows: int = LANE_ROWS) -> DataFrame:
     """References whose record is not there at the edge's time.
 
@@ -118,20 +134,20 @@ def orphans(edges: DataFrame, tables: Iterable[DataFrame], lane_rows: int = LANE
     period is `none`. A record without loaded_at never covers a time, but its id exists. Empty edges give no
     rows; empty tables make every reference `missing`.
     """
-    spark = edges.sparkSession
-    cell = lambda bits: F.shiftrightunsigned(F.xxhash64("ref_id"), 64 - bits).cast("int")
-    refs = references(edges)
-    bits, hot = ranges({r.cell: r.n for r in refs.groupBy(cell(COUNT_BITS).alias("cell")).agg(F.count("*").alias("n")).collect()}, lane_rows)
-    several = F.broadcast(spark.createDataFrame(list(hot.items()), "cell int, lanes int"))  # at most a row per range
+    refs = references(edges).withColumn("hash", F.xxhash64("ref_id"))
+    bits = max(LEAST_BITS, (2 * edges.count() // lane_rows).bit_length())
+    cell = F.shiftrightunsigned("hash", 64 - bits).alias("cell")
+    # Ranges that are too full for a task; their list is written, so that its size decides how it is joined.
+    hot = stage(refs.groupBy(cell).agg(F.ceil(F.count("*") / lane_rows).cast("int").alias("lanes")).where("lanes > 1"), "hot")
     lanes = F.coalesce("lanes", F.lit(1))
-    refs = refs.withColumn("cell", cell(bits)).join(several, "cell", "left").withColumn("lane", F.pmod(F.xxhash64("edge_id", "ref_end"), lanes).cast("int")).drop("lanes")
+    refs = refs.withColumn("cell", cell).join(hot, "cell", "left").withColumn("lane", F.pmod(F.xxhash64("edge_id", "ref_end"), lanes).cast("int")).drop("lanes")
     known = (
         parents(tables)
-        .withColumnRenamed("id", "ref_id")
-        .withColumn("cell", cell(bits))
-        .join(several, "cell", "left")
+        .withColumn("hash", F.xxhash64("id"))
+        .withColumn("cell", cell)
+        .join(hot, "cell", "left")
         .withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
-        .select(F.col("ref_id").alias("id"), "loaded_at", "deleted_at", "cell", "lane")
+        .select("id", "hash", "loaded_at", "deleted_at", "cell", "lane")
     )
     missed = (
         refs.groupBy("cell", "lane")

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -36,11 +38,12 @@ def test_states(spark):
     assert found(spark, edges, parents, lane_rows=2) == want  # hot ranges cut into lanes
 
 
-def test_ranges():
-    assert orphans.ranges({}, 10) == (orphans.LEAST_BITS, {})
-    bits, lanes = orphans.ranges({0: 5, 1 << 15: 1000}, 10)
-    assert bits == 7 and lanes == {64: 100}
-    assert orphans.ranges(dict.fromkeys(range(1 << 16), 10**6), 10)[0] == orphans.COUNT_BITS
+def test_keys_of_one_hash():
+    """Ids that share a hash are told apart by themselves."""
+    keys = orphans.Keys(np.array([1, 1, 1, 5, 5, 9]), pa.array(["a", "b", "b", "c", "d", "e"]))
+    assert keys.number.tolist() == [0, 1, 1, 2, 3, 4]
+    at, there = keys.find(np.array([1, 1, 1, 5, 9, 9, 7, 99]), pa.array(["b", "a", "x", "d", "e", "f", "g", "h"]))
+    assert there.tolist() == [True, True, False, True, True, False, False, False] and at[there].tolist() == [1, 0, 3, 4]
 
 
 def test_empty(spark):
