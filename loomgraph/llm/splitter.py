@@ -1,13 +1,15 @@
 """Cutting oversized texts into pieces under a token limit, at natural boundaries, with overlap.
 
 A token is four UTF-8 bytes, a text of n bytes has n // 4 tokens. Each text gets the prefix sums of its characters'
-bytes and a sorted array of the places where a block (a line that follows an empty one, or starts a new unit at the
-outermost indent) or a line begins. A piece ends at the last block boundary under the limit, found by binary search,
-else at the last line boundary, else hard at the last character that fits. The next one steps back by the overlap.
+bytes and sorted arrays of the places where a block or a line begins. A block begins with a line that follows an empty one, or
+with one at the outermost indent where something deeper or a closing bracket ends. A piece ends at the last block boundary
+under the limit, found by binary search, else at the last line boundary, else hard at the last character that fits. The next
+one steps back by the overlap.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +20,30 @@ from pyspark.sql import functions as F
 BYTES_PER_TOKEN = 4
 DEFAULT_LIMIT = 512
 DEFAULT_OVERLAP = 0
-LEAST_FILL = 2  # a boundary counts only if the piece brings at least 1 / LEAST_FILL of what would fit anew
+
+_CLOSING = re.compile(r"[\])}>;,\s]*(?:end\b)?[\])}>;,\s]*$")
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted offsets at which blocks and lines begin (offset 0 and the end are left out)."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lines = np.flatnonzero(code[:-1] == 10) + 1 if len(code) > 1 else np.zeros(0, np.int64)
-    if not len(lines):
-        return lines, lines
-    starts = np.r_[0, lines]
-    blank = np.zeros(len(code) + 1, np.int64)
-    blank[1:] = np.cumsum(~((code == 32) | (code == 9) | (code == 10) | (code == 13)))
-    ends = np.r_[lines, len(code)]
-    empty = blank[ends] == blank[starts]
-    after_empty = np.flatnonzero(empty[:-1] & ~empty[1:]) + 1
-    return starts[after_empty], lines
+    starts, blocks, at = [], [], 0
+    seen = []  # (place, indent, closing) of the lines that are not blank, None for a blank one
+    for line in text.split("\n"):
+        bare = line.lstrip(" \t\r")
+        seen.append((at, len(line) - len(bare), bool(_CLOSING.match(bare))) if bare else None)
+        starts.append(at)
+        at += len(line) + 1
+    # A body begins without its first line's indent, so the first line tells nothing of the outermost one.
+    outer = min((s[1] for s in seen[1:] if s and not s[2]), default=0)
+    last, after_blank = None, False
+    for s in seen:
+        if s is None:
+            after_blank = True
+            continue
+        if last is not None and (after_blank or (s[1] <= outer and not s[2] and (last[1] > outer or last[2]))):
+            blocks.append(s[0])
+        last, after_blank = s, False
+    return np.asarray(blocks, np.int64), np.asarray([s for s in starts[1:] if s < len(text)], np.int64)
 
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -60,11 +70,10 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             pieces.append((begin, n))
             return pieces
         last = max(last, known + 1)
-        least = known + (last - known) // LEAST_FILL
         end = last
         for marks in (blocks, lines):
             i = int(np.searchsorted(marks, last, side="right")) - 1
-            if i >= 0 and marks[i] > least:
+            if i >= 0 and marks[i] > known:
                 end = int(marks[i])
                 break
         pieces.append((begin, end))
