@@ -43,6 +43,39 @@ def test_against_plain_rule(spark):
     assert len(got) == len(set(map(tuple, got))) and {tuple(x) for x in got} == plain(docs, items)
 
 
+def test_recall_of_edited_copies(spark):
+    """Copies with up to a fifth of their words changed, dropped or added, against an alignment of all pairs: seeds of one word find all,
+    those of five nearly all."""
+    r = random.Random(21)
+    pool = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(pool) for _ in range(r.randint(30, 60)))) for i in range(30)]
+    docs = []
+    for d in range(200):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(1, len(w) // 5)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([["new"], [], [w[at], "more"]])
+        docs.append((d, " ".join(["before"] * 9 + w + ["after"] * 9)))
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            x, y = (np.array([hash(v) for v in re.findall(r"[^\W_]+", t.lower())]) for t in (text, item))
+            score, _, _, run = k.align(x, y)
+            if run >= 12 or score >= k.EDITED * len(y):
+                want.add((d, i))
+    assert len(want) > 150
+    got = {seed: {(x.doc_id, x.item_id) for x in k.leaks(*frames(spark, docs, items), seed=seed).collect()} for seed in (1, k.SEED)}
+    assert got[1] == want and got[k.SEED] <= want and len(got[k.SEED]) >= 0.98 * len(want)
+
+
+def test_bitmap():
+    g = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    bitmap = np.zeros(1 << 16, bool)
+    bitmap[(g[:100] >> np.uint64(48)).astype(np.int64)] = True
+    hit = k.marked(np.packbits(bitmap), 16, g)
+    assert hit[:100].all() and (hit == bitmap[(g >> np.uint64(48)).astype(np.int64)]).all()
+
+
 def test_edited_copy(spark):
     item = "when the window turns pending the lane will classify its vault and drain the stale parcel for every reader"
     copy = item.replace("pending", "idle").replace("stale ", "")
