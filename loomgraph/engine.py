@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
+import resource
 import time
 import uuid
 from collections.abc import Callable
@@ -13,14 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.errors import error
+from loomgraph import __version__
+from loomgraph.errors import LoomError, error
 from loomgraph.functions import embed, text
 from loomgraph.operators import changes, commits, extract, gate, graph, listing, policy, search, telemetry
+from loomgraph.session import exists, move, remove
 from loomgraph.sources import files as readers
 from loomgraph.sources import sinks
 from loomgraph.sources.model import EDGE_TYPES, KINDS
 
 STATE = ".loomgraph"
+#: Views around a node, for ad-hoc queries that name one.
+AROUND = ["neighborhood", "reachable"]
 
 # The tools whose calls are recorded.
 METERED = frozenset(
@@ -33,13 +37,15 @@ SCHEMAS = {
     "edges": "edge_type string, src string, dst string, import_path string, linked_by string, created_at timestamp_ntz",
     "content_record": "id string, content_type string, file_path string, content_hash string, content string, embedding array<float>, source_path string, file_size_bytes long, ingested_at timestamp_ntz",
     "commit_node": readers.COMMIT,
+    "file_hash": "file_path string, content_hash string, size_bytes long, recorded_at timestamp_ntz",
 }
 
 
 class Workspace:
     """A work tree with its graph, documents, commits and usage events."""
 
-    def __init__(self, spark: SparkSession, path: str, branch: str = "main", model: Callable[[list[str]], np.ndarray] | None = embed.hashed):
+    def __init__(self, spark: SparkSession, path: str, branch: str = "main", model: Callable[[list[str]], np.ndarray] | None = embed.hashed, store: str | None = None):
+        """store: the folder of the tables, on any file system that Spark writes to; the work tree's state folder without it."""
         root = Path(path)
         if not root.is_dir():
             raise error("WorkspaceNotFound", path)
@@ -49,6 +55,9 @@ class Workspace:
         self.busy = False
         self.began = time.monotonic()
         self.calls: list[tuple[str, float]] = []
+        self.base = (store or str(self.state / "db")).rstrip("/")
+        self.last_flush: str | None = None
+        self.watched, self.last_watched = 0, None
 
     # tables
 
@@ -57,25 +66,23 @@ class Workspace:
         return self.root / STATE
 
     @property
-    def folder(self) -> Path:
-        return self.state / "db" / self.branch.replace("/", "__")
+    def folder(self) -> str:
+        return f"{self.base}/{self.branch.replace('/', '__')}"
 
     def table(self, name: str) -> DataFrame:
-        at = self.folder / name
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(at)) if at.exists() else self.spark.createDataFrame([], SCHEMAS[name])
+        at = f"{self.folder}/{name}"
+        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def store(self, name: str, df: DataFrame) -> None:
         """Write beside the old table, then take its place."""
-        at = self.folder / name
-        work = at.with_name(f"_{name}.{uuid.uuid4().hex}")
-        work.parent.mkdir(parents=True, exist_ok=True)
+        mark = uuid.uuid4().hex
+        at, work, old = f"{self.folder}/{name}", f"{self.folder}/_{name}.{mark}", f"{self.folder}/_{name}.old.{mark}"
         wanted = self.spark.createDataFrame([], SCHEMAS[name]).columns
-        df.select(*wanted).write.parquet(str(work))
-        old = at.with_name(f"_{name}.old.{uuid.uuid4().hex}")
-        if at.exists():
-            at.rename(old)
-        work.rename(at)
-        shutil.rmtree(old, ignore_errors=True)
+        df.select(*wanted).write.parquet(work)
+        if exists(self.spark, at):
+            move(self.spark, at, old)
+        move(self.spark, work, at)
+        remove(self.spark, old)
 
     def nodes(self) -> DataFrame:
         f = self.table("code_file").select("id", F.lit("code_file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file_path"))
@@ -132,21 +139,48 @@ class Workspace:
 
     def set_workspace(self, branch: str | None = None) -> dict:
         self.branch = branch or self.branch
-        return {"workspace_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.root}:{self.branch}")), "path": str(self.root), "hydrated": (self.folder / "symbols").exists()}
+        return {"workspace_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.root}:{self.branch}")), "path": str(self.root), "hydrated": exists(self.spark, f"{self.folder}/symbols")}
 
     def get_daemon_status(self) -> dict:
-        return {"uptime_seconds": int(time.monotonic() - self.began), "active_workspaces": 1, "model_loaded": self.model is not None, "model_name": getattr(self.model, "__name__", None)}
+        memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+        return {
+            "version": __version__, "uptime_seconds": int(time.monotonic() - self.began), "active_workspaces": 1, "active_connections": 1, "memory_bytes": memory,
+            "model_loaded": self.model is not None, "model_name": getattr(self.model, "__name__", None),
+        }
 
     def get_workspace_status(self) -> dict:
         disk = self._disk().select(F.col("path").alias("file_path"), "content_hash", "size_bytes")
         stored = self.table("code_file").select(F.col("path").alias("file_path"), "content_hash", "size_bytes")
         stats = self._rows(listing.statistics(self.table("code_file"), self.table("symbols"), self.table("edges")))[0]
-        return {"path": str(self.root), "branch": self.branch, "stale_files": changes.is_stale(changes.classify(stored, disk)).first().stale, "code_graph": {k: stats[k] for k in ("code_files", "functions", "classes", "interfaces", "edges")}}
+        return {
+            "path": str(self.root), "branch": self.branch, "db_path": self.folder, "last_flush": self.last_flush, "stale_files": changes.is_stale(changes.classify(stored, disk)).first().stale,
+            "connection_count": 1, "code_graph": {k: stats[k] for k in ("code_files", "functions", "classes", "interfaces", "edges")},
+        }
+
+    def _registry(self) -> readers.Registry | None:
+        at = self.state / "registry.yaml"
+        return readers.read_registry(str(at), str(self.root)) if at.exists() else None
 
     def get_workspace_statistics(self) -> dict:
         stats = self._rows(listing.statistics(self.table("code_file"), self.table("symbols"), self.table("edges")))[0]
         keys = ("symbols_with_embeddings", "total_symbols", "coverage_percent")
-        return {k: v for k, v in stats.items() if k not in keys} | {"embedding_status": {"enabled": self.model is not None, **{k: stats[k] for k in keys}}}
+        out = {k: v for k, v in stats.items() if k not in keys} | {"embedding_status": {"enabled": self.model is not None, **{k: stats[k] for k in keys}}}
+        try:
+            registry = self._registry()
+        except LoomError:  # a registry that cannot be read is none
+            registry = None
+        if registry:
+            sources = [{"content_type": s.get("type"), "language": s.get("language"), "path": s.get("path"), "status": s["status"]} for s in registry.sources]
+            out["registry"] = {"sources": sources, "total_sources": len(sources)}
+        return out
+
+    def offline_changes(self) -> DataFrame:
+        """Changes of all tracked files since their hashes were recorded: file_path, kind, and both hashes."""
+        return changes.classify(self.table("file_hash"), readers.tracked(self.spark, str(self.root)))
+
+    def watch_event(self, count: int = 1) -> None:
+        """Note events that a watcher's stream has brought, for the health report."""
+        self.watched, self.last_watched = self.watched + count, datetime.now(timezone.utc).isoformat()
 
     # indexing
 
@@ -230,13 +264,14 @@ class Workspace:
         out |= {"symbols": ready["symbols"].count(), "edges": ready["edges"].count()}
         for n, df in ready.items():
             self.store(n, df)
+        self.store("file_hash", readers.tracked(self.spark, str(self.root)))
         for df in (*ready.values(), disk, todo, gone, carried, relinked):
             df.unpersist()
         return out
 
-    def ingest(self, source_path: str, content_type: str, pattern: str | None = None) -> dict:
+    def ingest(self, source_path: str, content_type: str, pattern: str | None = None, most_bytes: int | None = None) -> dict:
         """Bring the content records of one source up to date: unchanged hashes are skipped, records of removed files go."""
-        rows = readers.documents(self.spark, str(self.root), source_path, content_type, pattern, self.config.max_file_size_bytes)
+        rows = readers.documents(self.spark, str(self.root), source_path, content_type, pattern, most_bytes or self.config.max_file_size_bytes)
         old = self.table("content_record")
         mine = old.where(F.col("source_path") == source_path)
         same = rows.join(mine.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select("file_path")
@@ -249,13 +284,26 @@ class Workspace:
         self.store("content_record", kept.unionByName(new.select(*kept.columns)))
         return out
 
+    def ingest_sources(self) -> dict:
+        """Ingest every active source of the registry; sources that are missing or outside the work tree are named, not read."""
+        registry = self._registry()
+        out = {"ingested": 0, "unchanged": 0, "removed": 0, "skipped": []}
+        for s in registry.sources if registry else []:
+            if s["status"] != "active":
+                out["skipped"].append({"path": s.get("path"), "status": s["status"]})
+                continue
+            one = self.ingest(str(s["path"]), str(s.get("type") or "doc"), s.get("pattern"), registry.max_file_size_bytes)
+            out |= {k: out[k] + v for k, v in one.items()}
+        return out
+
     def flush_state(self) -> dict:
         """Write nodes.jsonl and edges.jsonl."""
         at = self.state / "graph"
         at.mkdir(parents=True, exist_ok=True)
         nodes = sinks.write_lines(sinks.node_lines(self.table("code_file"), self.table("symbols")), str(at / "nodes.jsonl"))
         edges = sinks.write_lines(sinks.edge_lines(self.table("edges")), str(at / "edges.jsonl"))
-        return {"files_written": [str(at / n) for n in ("nodes.jsonl", "edges.jsonl")], "warnings": [], "flush_timestamp": datetime.now(timezone.utc).isoformat(), "code_graph": {"nodes_written": nodes, "edges_written": edges}}
+        self.last_flush = datetime.now(timezone.utc).isoformat()
+        return {"files_written": [str(at / n) for n in ("nodes.jsonl", "edges.jsonl")], "warnings": [], "flush_timestamp": self.last_flush, "code_graph": {"nodes_written": nodes, "edges_written": edges}}
 
     def hydrate(self) -> dict:
         """Load the graph from nodes.jsonl and edges.jsonl; bodies' lines are not in them, corrupt lines are counted."""
@@ -337,14 +385,23 @@ class Workspace:
         return {"results": self._rows(hits.join(r.select("id", "content"), "id").orderBy(F.desc("score"), "id"))}
 
     def query_graph(self, query: str, params: dict | None = None) -> dict:
-        """A read-only SQL query over the tables, and over each kind and edge type as a view of its own."""
+        """A read-only SQL query over the tables, over each kind and edge type as a view of its own, and, with params `root` and `depth`, over
+        two views around a node: neighborhood (id, kind, name, file_path, depth) and reachable (id, kind, name, file_path)."""
+        views = [*SCHEMAS, *KINDS, *EDGE_TYPES]
         for name in SCHEMAS:
             self.table(name).createOrReplaceTempView(name)
         for kind in KINDS:
             self.table("symbols").where(F.col("kind") == kind).createOrReplaceTempView(kind)
         for e in EDGE_TYPES:
             self.table("edges").where(F.col("edge_type") == e).createOrReplaceTempView(e)
-        return gate.run(self.spark, query, self.config.query_row_limit, self.config.query_timeout_ms, [*SCHEMAS, *KINDS, *EDGE_TYPES])
+        if params and params.get("root"):
+            depth = min(max(int(params.get("depth", 1)), 1), self.config.max_traversal_depth)
+            gate.check_plan(self.spark, query.strip().rstrip(";"), [*views, *AROUND]) if query.strip() else None
+            near, _ = graph.neighbourhood(self.nodes(), self.table("edges"), params["root"], depth, None)
+            near.select("id", "kind", "name", "file_path", "depth").createOrReplaceTempView("neighborhood")
+            self.nodes().join(graph.reachable(self.table("edges"), params["root"], depth), "id", "left_semi").createOrReplaceTempView("reachable")
+            views += AROUND
+        return gate.run(self.spark, query, self.config.query_row_limit, self.config.query_timeout_ms, views)
 
     def index_git_history(self, depth: int | None = None, force: bool = False) -> dict:
         began = time.monotonic()
@@ -374,7 +431,11 @@ class Workspace:
     # reports
 
     def get_health_report(self) -> dict:
-        out = self.get_daemon_status() | {"workspace_id": self.set_workspace()["workspace_id"], "tool_call_count": len(self.calls)}
+        status = self.get_daemon_status()
+        out = {k: status[k] for k in ("version", "uptime_seconds", "active_connections", "model_loaded", "model_name")}
+        out |= {"workspace_id": self.set_workspace()["workspace_id"], "tool_call_count": len(self.calls), "memory_mb": status["memory_bytes"] >> 20, "watcher_events": self.watched, "last_watcher_event": self.last_watched}
+        out["embedding_status"] = {"enabled": self.model is not None} | self._rows(listing.coverage(self.table("symbols")))[0]
+        out["metrics_summary"] = {"branch": self.branch, "summary": self._summary(None)} if self.usage_file().exists() else None
         if self.calls:
             e = self.spark.createDataFrame(self.calls, "tool_name string, elapsed_ms double")
             out["query_timing"] = {r["tool_name"]: r for r in self._rows(telemetry.query_timing(e))}
@@ -407,6 +468,6 @@ class Workspace:
 
 
 TOOLS = frozenset(
-    "set_workspace get_daemon_status get_workspace_status get_workspace_statistics index_workspace sync_workspace flush_state map_code list_symbols impact_analysis unified_search "
+    "set_workspace ingest_sources get_daemon_status get_workspace_status get_workspace_statistics index_workspace sync_workspace flush_state map_code list_symbols impact_analysis unified_search "
     "query_memory query_graph get_health_report get_branch_metrics get_token_savings_report get_evaluation_report query_changes index_git_history".split()
 )

@@ -102,10 +102,57 @@ def reopened(spark: SparkSession, name: str, schema: str, key: str, buckets: int
     return spark.table(name)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system it is."""
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever file system it is."""
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename within a file system; the folder above is made where it is missing."""
+    fs, p = _at(spark, old)
+    q = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{old} could not become {new}")
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """The part files of a folder one after the other as one file, streamed from file system to file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, p = _at(spark, folder)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(target), True)
+    try:
+        for part in sorted(str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")):
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    finally:
+        out.close()
+
+
+def tail(spark: SparkSession, path: str, most: int) -> bytes:
+    """The last `most` bytes of a file."""
+    fs, p = _at(spark, path)
+    size = fs.getFileStatus(p).getLen()
+    data = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray
+    source = fs.open(p)
+    try:
+        source.seek(max(0, size - most))
+        return bytes(data(source))
+    finally:
+        source.close()
 
 
 def _clean() -> None:

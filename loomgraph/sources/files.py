@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.errors import error
 from loomgraph.functions import text
+from loomgraph.session import exists, tail
 from loomgraph.sources.model import EDGE_TYPES, KINDS
 
 MAX_FILE_BYTES = 1 << 20
@@ -32,15 +34,85 @@ USAGE = T.StructType(
 )
 
 
+def _rule(line: str, base: str) -> tuple[str, bool, bool] | None:
+    """(regular expression of a path, directories only, taken back) of a line of an ignore file that lies in `base`; None for none."""
+    rule = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
+    if not rule or rule.startswith("#"):
+        return None
+    back = rule.startswith("!")
+    rule = rule[1:] if back else rule
+    folders = rule.endswith("/")
+    rule = rule.rstrip("/")
+    anchored = "/" in rule
+    rule = rule.lstrip("/")
+    if not rule:
+        return None
+    out = "" if anchored or rule.startswith("**") else "(?:.*/)?"
+    parts = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    for token in re.findall(r"^\*\*/|/\*\*/|/\*\*$|\*+|\?|\[[^\]]+\]|\\.|.", rule):
+        if token == "/**/":
+            out += "/(?:.*/)?"
+        elif token.startswith("[") and len(token) > 1:
+            out += "[^" + token[2:] if token[1] == "!" else token
+        elif token.startswith("\\"):
+            out += re.escape(token[1:])
+        else:
+            out += parts.get(token) or parts["*"] if token in parts or set(token) == {"*"} else re.escape(token)
+    return f"^{re.escape(base + '/') if base else ''}{out}$", folders, back
+
+
+def ignore_rules(root: str) -> list[tuple[str, bool, bool]]:
+    """The rules of all ignore files of a work tree, in the order in which later ones prevail: those of git, if it is a repository, and
+    .ignore files, deeper ones after those above them."""
+    top = Path(root).resolve()
+    git = any((p / ".git").exists() for p in (top, *top.parents))
+    out = [_rule(x, "") for x in (top / ".git/info/exclude").read_text(errors="replace").split("\n")] if (top / ".git/info/exclude").is_file() else []
+    names = (".gitignore", ".ignore") if git else (".ignore",)
+    found = [p for name in names for p in top.rglob(name) if p.is_file()]
+    for p in sorted(found, key=lambda p: (len(p.parts), names.index(p.name))):
+        base = "" if p.parent == top else p.parent.relative_to(top).as_posix()
+        out += [_rule(x, base) for x in p.read_text(errors="replace").split("\n")]
+    return [r for r in out if r]
+
+
+def is_ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Is a path, or a directory on it, ignored? The last rule that matches decides, and nothing below an ignored directory is taken back."""
+    if not rules:
+        return F.lit(False)
+    parts = F.split(path, "/")
+    n = F.size(parts)
+
+    def decided(i: Column) -> Column:
+        at = F.array_join(F.slice(parts, 1, i), "/")
+        out = F.lit(False)
+        for regex, folders, back in rules:
+            hit = at.rlike(regex) & (i < n) if folders else at.rlike(regex)
+            out = F.when(hit, F.lit(not back)).otherwise(out)
+        return out
+
+    return F.exists(F.sequence(F.lit(1), n), decided)
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame:
+    """file_path (relative), content_hash, size_bytes, recorded_at of every file below a folder but those of excluded directories."""
+    base = "file:" + str(Path(root).resolve()) + "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rel = F.regexp_replace("path", "^" + re.escape(base), "")
+    rows = raw.select(rel.alias("file_path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.current_timestamp().cast("timestamp_ntz").alias("recorded_at"))
+    return rows.where(~text.is_excluded(F.col("file_path")))
+
+
 def tree(spark: SparkSession, root: str, languages: tuple[str, ...] = ("rust",), exclude: tuple[str, ...] = (), most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """path (relative), language, size_bytes, content_hash, source of the files below a folder in the given languages.
 
-    Hidden files and directories, excluded ones (text.EXCLUDED and the globs), larger and binary files are left out."""
+    Hidden files and directories, those that the tree's ignore files name, excluded ones (text.EXCLUDED and the globs), larger and
+    binary files are left out."""
     base = "file:" + str(Path(root).resolve()) + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", "^" + base.replace(".", "\\."), "")
+    rel = F.regexp_replace("path", "^" + re.escape(base), "")
     rows = raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), "content").withColumn("language", text.language_of(F.col("path")))
     rows = rows.where(~F.col("path").rlike(r"(^|/)\.[^/]") & ~text.is_excluded(F.col("path")) & F.col("language").isin(*languages) & (F.col("size_bytes") <= most_bytes))
+    rows = rows.where(~is_ignored(F.col("path"), ignore_rules(root)))
     for pattern in exclude:
         if text.glob_regex(pattern):
             rows = rows.where(~text.matches_glob(F.col("path"), pattern))
@@ -88,19 +160,47 @@ def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """The events of a usage file. A bad last line is a torn write and is dropped; any other bad line is MetricsParseError, a missing
-    file MetricsNotFound. outcome defaults to success."""
-    if not Path(path).exists():
+    """The events of a usage file, read line by line in as many tasks as it has splits. A bad last line is a torn write and is dropped;
+    any other bad line is MetricsParseError, a missing file MetricsNotFound. outcome defaults to success."""
+    if not exists(spark, path):
         raise error("MetricsNotFound", path)
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value"), F.size(F.split("value", "\n")).alias("lines"), F.endswith("value", F.lit("\n")).alias("ended"))
-    last = F.when(F.col("ended"), F.col("lines") - 2).otherwise(F.col("lines") - 1)
-    rows = raw.where(F.trim("value") != "").select("n", (F.col("n") == last).alias("last"), F.from_json("value", USAGE).alias("r"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", USAGE).alias("r"))
     bad = F.col("r.tool_name").isNull() | F.col("r.timestamp").isNull()
-    if not rows.where(bad & ~F.col("last")).isEmpty():
-        raise error("MetricsParseError", path)
+    wrong = rows.where(bad).select("value").limit(2).collect()
+    if wrong:
+        last = tail(spark, path, len(wrong[0].value.encode()) + 2).decode(errors="replace")
+        if len(wrong) > 1 or last.rstrip("\r\n").split("\n")[-1] != wrong[0].value:
+            raise error("MetricsParseError", path)
     return rows.where(~bad).select("r.*").na.fill({"outcome": "success"})
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, rows_per_task: int = 100_000) -> DataFrame:
+    """A table of an SQLite file that all workers can reach, in ranges of its row ids; columns by name of the schema."""
+    import sqlite3
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = spark.createDataFrame([], schema).schema
+    target = to_arrow_schema(wanted)
+    columns = ", ".join('"' + f.name.replace('"', '""') + '"' for f in wanted)
+    source = '"' + table.replace('"', '""') + '"'
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {source}").fetchone()
+    if low is None:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+            for b in batches:
+                for first in b.column(0).to_pylist():
+                    rows = con.execute(f"SELECT {columns} FROM {source} WHERE rowid >= ? AND rowid < ?", (first, first + rows_per_task)).fetchall()
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
+
+    n = (high - low) // rows_per_task + 1
+    return spark.range(low, high + 1, rows_per_task, n).mapInArrow(run, wanted)
+
+
 def read_backlogs(spark: SparkSession, folder: str) -> DataFrame:
     """Backlog documents backlog-*.json of a folder, in order of their id; malformed ones are left out."""
     schema = "id string, name string, title string, git_branch string, spec_path string, description string, status string"
@@ -191,37 +291,46 @@ def read_config(path: str) -> Config:
 COMMIT = "hash string, short_hash string, author_name string, author_email string, committed_at timestamp, message string, parent_hashes array<string>, changes array<struct<file_path string, change_type string, diff_snippet string, lines_added int, lines_removed int>>"
 
 
+def _changes(block: str) -> list[tuple]:
+    """The changes of one commit, from its raw lines and the patch below them."""
+    from loomgraph.operators.commits import CHANGE_TYPES, DIFF_LINES
+
+    raw, _, patch = block.partition("diff --git ")
+    bodies = {}
+    for part in ("\n" + patch).split("\ndiff --git ") if patch else []:
+        hunks = part[part.find("\n@@") + 1 :].rstrip("\n").split("\n") if "\n@@" in part else []
+        bodies[part.lstrip("\n").split("\n", 1)[0].rsplit(" b/", 1)[-1]] = hunks
+    out = []
+    for line in raw.split("\n"):
+        if not line.startswith(":"):
+            continue
+        kind, *paths = line.split(" ", 4)[4].split("\t")
+        lines = bodies.get(paths[-1], [])
+        head = lines[:DIFF_LINES]
+        snippet = "\n".join(head) + ("\n[diff truncated]\n" if len(lines) > DIFF_LINES else "")
+        out.append((paths[-1], CHANGE_TYPES.get(kind[0], "modify"), snippet, sum(x.startswith("+") for x in head), sum(x.startswith("-") for x in head)))
+    return out
+
+
 def read_git(spark: SparkSession, root: str, depth: int = 500, stop_at: str | None = None) -> DataFrame:
-    """Commits of a work tree, newest first, at most `depth`, up to a known hash; each with its changes against the first parent."""
+    """Commits of a work tree, newest first, at most `depth`, up to a known hash; each with its changes against the first parent. One
+    `git log` gives them all."""
     from datetime import datetime, timezone
 
-    from loomgraph.operators.commits import CHANGE_TYPES, DIFF_LINES
-
     if depth < 1:
         raise error("InvalidParams", "depth")
+    shown = "--format=%x1e%H%x1f%h%x1f%an%x1f%ae%x1f%ct%x1f%P%x1f%B%x1d"
     try:
-        log = subprocess.run(["git", "-C", root, "log", f"-{depth}", "--date-order", "--format=%H%x1f%h%x1f%an%x1f%ae%x1f%ct%x1f%P%x1f%B%x1e"], capture_output=True, text=True, check=True).stdout
+        log = subprocess.run(["git", "-C", root, "log", f"-{depth}", "--date-order", "--root", "--diff-merges=first-parent", "-M", "--raw", "-p", shown], capture_output=True, text=True, errors="replace", check=True).stdout
     except FileNotFoundError:
         raise error("GitNotFound") from None
     except subprocess.CalledProcessError as e:
         raise error("GitAccessError", e.stderr.strip()) from None
     rows = []
-    for record in filter(None, (r.strip("\n") for r in log.split("\x1e"))):
-        h, short, name, mail, at, parents, message = record.split("\x1f")
+    for record in log.split("\x1e")[1:]:
+        about, _, block = record.partition("\x1d")
+        h, short, name, mail, at, parents, message = about.split("\x1f")
         if h == stop_at:
             break
-        diff = subprocess.run(["git", "-C", root, "diff-tree", "--root", "-m", "--first-parent", "-p", "-M", "--no-commit-id", h], capture_output=True, text=True, errors="replace").stdout
-        status = subprocess.run(["git", "-C", root, "diff-tree", "--root", "-m", "--first-parent", "-r", "-M", "--no-commit-id", "--name-status", h], capture_output=True, text=True, errors="replace").stdout
-        bodies = {}
-        for part in diff.split("diff --git ")[1:]:
-            hunks = part[part.find("\n@@") + 1 :].split("\n") if "\n@@" in part else []
-            bodies[part.split("\n", 1)[0].rsplit(" b/", 1)[-1]] = hunks
-        changes = []
-        for line in filter(None, status.split("\n")):
-            kind, *paths = line.split("\t")
-            lines = bodies.get(paths[-1], [])
-            head = lines[:DIFF_LINES]
-            snippet = "\n".join(head) + ("\n[diff truncated]\n" if len(lines) > DIFF_LINES else "")
-            changes.append((paths[-1], CHANGE_TYPES.get(kind[0], "modify"), snippet, sum(x.startswith("+") for x in head), sum(x.startswith("-") for x in head)))
-        rows.append((h, short, name, mail, datetime.fromtimestamp(int(at), timezone.utc), message.strip(), parents.split(), changes))
+        rows.append((h, short, name, mail, datetime.fromtimestamp(int(at), timezone.utc), message.strip(), parents.split(), _changes(block)))
     return spark.createDataFrame(rows, COMMIT)

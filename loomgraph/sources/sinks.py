@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 from pathlib import Path
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vector
+from loomgraph.session import join_parts, move, remove
 
 
 def node_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -32,25 +32,20 @@ def edge_lines(edges: DataFrame) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> int:
     """Write the column `line` to one text file in its order, put in place at once; a table without rows removes the file. Returns the rows.
 
-    One file is the format; its lines come from the sorted partitions, one task after the other."""
-    target = Path(path)
-    work = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    lines.select("line").write.text(str(work))
-    n = 0
-    joined = work.with_suffix(".joined")
-    with joined.open("wb") as out:
-        for part in sorted(work.glob("part-*")):
-            raw = part.read_bytes()
-            n += raw.count(b"\n")
-            out.write(raw)
-        out.flush()
-        os.fsync(out.fileno())
-    shutil.rmtree(work)
+    One file is the format: its lines come from the sorted partitions, streamed one after the other on the target's file system."""
+    spark = lines.sparkSession
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    work = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    lines.select("line").write.text(work)
+    n = spark.read.text(work).count()
+    joined = f"{work}.joined"
     if n:
-        os.replace(joined, target)
-    else:
-        joined.unlink()
-        target.unlink(missing_ok=True)
+        join_parts(spark, work, joined)
+    remove(spark, work)
+    remove(spark, path)
+    if n:
+        move(spark, joined, path)
+        remove(spark, f"{folder}/.{name}.crc")  # or nobody else could write to the file
     return n
 
 
@@ -114,3 +109,16 @@ def manifest(name: str, description: str | None, repository: str | None, branch:
     rows = backlogs.select("id").orderBy("id").toLocalIterator()
     out = {"name": name, "description": description, "repository_url": repository, "default_branch": branch, "backlogs": [{"id": r.id, "path": f"backlog-{r.id}.json"} for r in rows]}
     return {k: v for k, v in out.items() if v is not None}
+
+
+def write_project(folder: str, name: str, description: str | None, repository: str | None, branch: str | None, backlogs: DataFrame) -> dict:
+    """Write the backlogs and project.json, their manifest; returns the manifest."""
+    write_documents(backlogs, folder)
+    out = manifest(name, description, repository, branch, backlogs)
+    atomic_write(f"{folder}/project.json", json.dumps(out, indent=2))
+    return out
+
+
+def refresh_backlog(folder: str, backlogs: DataFrame, one: str) -> bool:
+    """Write the one backlog of that id anew; False where there is none."""
+    return write_documents(backlogs.where(F.col("id") == one), folder) == 1

@@ -90,6 +90,72 @@ def test_engine(ws, spark):
     fails("WorkspaceNotFound", Workspace, spark, "/nowhere")
 
 
+def test_status_and_sources(ws, spark):
+    ws.call("index_workspace")
+    assert {r.file_path for r in ws.table("file_hash").collect()} == {"src/a.rs", "src/b.rs", "src/c.py", "docs/one.md", "docs/two.md"}
+    assert ws.offline_changes().count() == 0
+    (ws.root / "docs/one.md").write_text("# One\nchanged")
+    (ws.root / "docs/two.md").unlink()
+    (ws.root / "docs/three.md").write_text("# Three\nadding words")
+    assert {(r.path, r.kind) for r in ws.offline_changes().withColumnRenamed("file_path", "path").collect()} == {("docs/one.md", "modified"), ("docs/two.md", "deleted"), ("docs/three.md", "added")}
+    (ws.state / "registry.yaml").write_text("sources:\n- {type: doc, path: docs}\n- {type: doc, path: nowhere}\n")
+    assert ws.call("ingest_sources") == {"ingested": 2, "unchanged": 0, "removed": 0, "skipped": [{"path": "nowhere", "status": "missing"}]}
+    assert ws.call("get_workspace_statistics")["registry"]["total_sources"] == 2
+    ws.watch_event(3)
+    h = ws.call("get_health_report")
+    assert h["watcher_events"] == 3 and h["memory_mb"] > 0 and h["version"] and h["embedding_status"]["total_symbols"] == 5 and h["metrics_summary"]["branch"] == "main"
+    ws.call("flush_state")
+    s = ws.call("get_workspace_status")
+    assert s["last_flush"] and s["db_path"].endswith("db/main") and s["connection_count"] == 1
+    root = ws.table("symbols").where("name = 'add'").first().id
+    q = ws.call("query_graph", query="SELECT name FROM neighborhood JOIN file_hash USING (file_path) ORDER BY name", params={"root": root, "depth": 2})
+    assert [r["name"] for r in q["rows"]] == ["Box1", "Shape", "src/a.rs", "twice"]
+    assert [r["name"] for r in ws.call("query_graph", query="SELECT name FROM reachable", params={"root": root})["rows"]] == ["twice"]
+    fails("QueryInvalid", ws.call, "query_graph", query="SELECT name FROM reachable")
+
+
+def test_store_elsewhere(ws, spark, tmp_path):
+    other = Workspace(spark, str(ws.root), store=f"file:{tmp_path}/far/away")
+    assert other.call("index_workspace")["symbols"] == 5 and (tmp_path / "far/away/main/symbols").is_dir() and not (ws.state / "db").exists()
+    assert other.call("sync_workspace")["files_unchanged"] == 2
+
+
+def test_ignore_files(spark, tmp_path):
+    names = "a.rs build/x.rs keep/build/y.rs gen/a.rs gen/deep/b.rs gen/keep.rs logs/z.rs sub/own.rs sub/other.rs out.rs sub/out.rs doc/a/b/q.rs t1.rs t9.rs [x].rs"
+    for n in names.split():
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("fn a() {}")
+    (tmp_path / ".gitignore").write_text("# comment\n\nbuild/\n/out.rs\ngen/*\n!gen/keep.rs\nlogs\n!logs/z.rs\ndoc/**/q.rs\nt[0-5].rs\n\\[x].rs\n")
+    (tmp_path / "sub/.gitignore").write_text("own.rs\n")
+    everything = set(names.split())
+    paths = lambda: {r.path for r in files.tree(spark, str(tmp_path)).collect()}
+    assert paths() == everything  # not a repository
+    (tmp_path / ".ignore").write_text("t9.rs\n")
+    assert paths() == everything - {"t9.rs"}
+    (tmp_path / ".git/info").mkdir(parents=True)
+    assert paths() == {"a.rs", "gen/keep.rs", "sub/other.rs", "sub/out.rs"}
+    (tmp_path / ".git/info/exclude").write_text("a.rs\n")
+    assert paths() == {"gen/keep.rs", "sub/other.rs", "sub/out.rs"}
+
+
+def test_sqlite_and_project(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "s.db") as con:
+        con.execute("CREATE TABLE turns (session_id TEXT, turn_index INTEGER, text TEXT)")
+        con.executemany("INSERT INTO turns VALUES (?, ?, ?)", [(f"s{k % 3}", k, None if k == 4 else f"t{k}") for k in range(25)])
+        con.execute("DELETE FROM turns WHERE turn_index = 7")
+        con.execute("CREATE TABLE none (a TEXT)")
+    got = files.read_sqlite(spark, str(tmp_path / "s.db"), "turns", "session_id string, turn_index int, text string", rows_per_task=10)
+    assert sorted((r.session_id, r.turn_index, r.text) for r in got.collect()) == sorted((f"s{k % 3}", k, None if k == 4 else f"t{k}") for k in range(25) if k != 7)
+    assert got.rdd.getNumPartitions() == 3 and files.read_sqlite(spark, str(tmp_path / "s.db"), "none", "a string").count() == 0
+    logs = spark.createDataFrame([("2", "second", None), ("1", "first", "todo")], "id string, title string, status string")
+    out = sinks.write_project(str(tmp_path / "p"), "name", None, None, "main", logs)
+    assert json.loads((tmp_path / "p/project.json").read_text()) == out and [b["id"] for b in out["backlogs"]] == ["1", "2"]
+    assert sinks.refresh_backlog(str(tmp_path / "p"), logs.replace("first", "renamed"), "1") and not sinks.refresh_backlog(str(tmp_path / "p"), logs, "9")
+    assert [(r.id, r.title) for r in files.read_backlogs(spark, str(tmp_path / "p")).collect()] == [("1", "renamed"), ("2", "second")]
+
+
 def test_git(ws):
     run = lambda *a: subprocess.run(["git", "-C", str(ws.root), "-c", "user.name=t", "-c", "user.email=t@invalid", *a], check=True, capture_output=True)
     run("init", "-q")
