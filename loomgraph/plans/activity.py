@@ -253,12 +253,12 @@ def path_filters(spark, folder) -> DataFrame:
 
 
 def edit_bursts(spark, folder) -> DataFrame:
-    """Events of a user less than half an hour apart, as one burst."""
+    """Events of a user no more than half an hour apart, as one burst."""
     return watch.bursts(model.usage_events(spark, folder), "30 minutes", key="connection_id")
 
 
 def sync_bursts(spark, folder) -> DataFrame:
-    """All events as one watcher's, parted by pauses of two seconds or more."""
+    """All events as one watcher's, parted by pauses of more than two seconds."""
     return watch.bursts(model.usage_events(spark, folder))
 
 
@@ -414,13 +414,13 @@ SQL = {
       SELECT fn_id, ltrim(replace(again, chr(9), ' ')) = replace(body, chr(9), ' ') AS same FROM b""",
     "path_filters": f"""WITH {Q.FILE} SELECT id, regexp_matches(path, '(^|/)(\\.loomgraph|\\.git|node_modules|target|\\.env)(/|$)') AS excluded, regexp_matches(path, '^(\\.loomgraph|\\.git|node_modules|target|\\.env)(/|$)') AS excluded_at_root,
       regexp_matches(path, '^crates/.*/src/.*[.](rs|py)$') AS globbed, ends_with(path, '_test.rs') AS named FROM file""",
-    "sync_bursts": f"""WITH {Q.EVENT}, g AS (SELECT timestamp, coalesce(timestamp - lag(timestamp) OVER (ORDER BY timestamp) >= INTERVAL 2 SECOND, true)::INTEGER AS cut FROM event),
+    "sync_bursts": f"""WITH {Q.EVENT}, g AS (SELECT timestamp, coalesce(timestamp - lag(timestamp) OVER (ORDER BY timestamp) > INTERVAL 2 SECOND, true)::INTEGER AS cut FROM event),
       s AS (SELECT *, sum(cut) OVER (ORDER BY timestamp) AS burst FROM g) SELECT count(*) AS events, min(timestamp) AS first_at, max(timestamp) AS last_at FROM s GROUP BY burst""",
-    "debounced_edits": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
+    "debounced_edits": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w > INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
       s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY connection_id ORDER BY timestamp) AS burst FROM g)
       SELECT connection_id AS path, arg_max(tool_name, timestamp) AS kind, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS events FROM s GROUP BY connection_id, burst""",
     "resolve_calls": "SELECT * FROM (VALUES ('lib.rs:run:2', 'lib.rs:load:6'), ('lib.rs:run:2', 'lib.rs:store:9'), ('lib.rs:store:9', 'lib.rs:load:6'), ('two.rs:load:1', 'two.rs:near:2')) v(src, dst)",
     "resolve_impls": "SELECT * FROM (VALUES ('shapes.rs:Circle:4', 'shapes.rs:Area:1'), ('shapes.rs:Square:5', 'shapes.rs:Area:1')) v(src, dst)",
-    "edit_bursts": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w >= INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
+    "edit_bursts": f"""WITH {Q.EVENT}, g AS (SELECT *, (timestamp - lag(timestamp) OVER w > INTERVAL 30 MINUTE)::INTEGER AS cut FROM event WINDOW w AS (PARTITION BY connection_id ORDER BY timestamp)),
       s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY connection_id ORDER BY timestamp) AS burst FROM g) SELECT connection_id, count(*) AS events, min(timestamp) AS first_at, max(timestamp) AS last_at FROM s GROUP BY connection_id, burst""",
 }

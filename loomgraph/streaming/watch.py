@@ -43,7 +43,7 @@ def action(path: Column, kind: Column) -> Column:
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE) -> DataFrame:
-    """path, kind, first_at, last_at, events: bursts of one path's events less than `gap` apart, as their last event's kind.
+    """path, kind, first_at, last_at, events: bursts of one path's events no more than `gap` apart, as their last event's kind.
 
     On a stream, events more than `late` behind the newest are dropped, so that state stays bounded."""
     e = events.withWatermark("timestamp", late) if events.isStreaming else events
@@ -52,7 +52,7 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE) -> DataF
 
 
 def bursts(events: DataFrame, gap: str = QUIET, late: str = LATE, key: str | None = None) -> DataFrame:
-    """first_at, last_at, events: all events until `gap` passes without one, of each value of `key` if there is one; each burst
+    """first_at, last_at, events: all events until more than `gap` passes without one, of each value of `key` if there is one; each burst
     calls for one synchronisation.
 
     A table is first counted by slots of `gap`, two of which can only part where the pause between them is long enough, so that
@@ -64,7 +64,7 @@ def bursts(events: DataFrame, gap: str = QUIET, late: str = LATE, key: str | Non
     # Within a slot two neighbours are less than `gap` apart.
     slots = events.where("timestamp is not null").groupBy(*keys, F.window(F.col("timestamp").cast("timestamp"), gap).alias("w")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
     by = Window.partitionBy(*keys).orderBy("a")
-    fresh = F.coalesce(F.col("a") >= F.lag("b").over(by) + F.expr(f"interval {gap}"), F.lit(True)).cast("long")
+    fresh = F.coalesce(F.col("a") > F.lag("b").over(by) + F.expr(f"interval {gap}"), F.lit(True)).cast("long")
     w = slots.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(by)).groupBy(*keys, "burst").agg(F.min("a").alias("first_at"), F.max("b").alias("last_at"), F.sum("n").alias("events"))
     return w.select(*keys, "first_at", "last_at", "events")
 
@@ -98,3 +98,21 @@ def on_each_burst(events: DataFrame, synchronise: Callable[[DataFrame, int], Non
             synchronise(paths, number)
 
     return relevant(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+IDLE_MINUTES = 240
+
+
+def idle(events: DataFrame, minutes: int = IDLE_MINUTES, key: str = "workspace", late: str = LATE, now: Column | None = None) -> DataFrame:
+    """key, last_at, idle_at: since when a workspace has been idle, that is `minutes` after its last event; 0 minutes is never.
+
+    Of a table: as it stands at `now`, the current time without it. On a stream: each time a pause of that length has passed."""
+    if minutes <= 0:
+        return events.select(key, F.col("timestamp").alias("last_at"), F.col("timestamp").alias("idle_at")).where(F.lit(False))
+    ttl = F.expr(f"interval {minutes} minutes")
+    if events.isStreaming:
+        e = events.withWatermark("timestamp", late)
+        w = e.groupBy(key, F.session_window("timestamp", f"{minutes} minutes").alias("w")).agg(F.max("timestamp").alias("last_at"))
+        return w.select(key, "last_at", (F.col("last_at") + ttl).alias("idle_at"))
+    last = events.groupBy(key).agg(F.max("timestamp").alias("last_at")).withColumn("idle_at", F.col("last_at") + ttl)
+    return last.where(F.col("idle_at") <= (now if now is not None else F.current_timestamp()))

@@ -62,3 +62,30 @@ def test_bursts_call_synchronise(spark, tmp_path):
     q = watch.on_each_burst(watch.changes(spark, str(tmp_path / "in")), lambda df, n: seen.append(sorted(r.path for r in df.collect())), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert seen == [["a.rs"]]
+
+
+def test_idle(spark, tmp_path):
+    rows = [("a", 0), ("a", 10), ("b", 0), ("b", 300), ("c", 900)]
+    write(tmp_path / "in", "1.json", [{"workspace": w, "timestamp": (T0 + timedelta(minutes=m)).isoformat()} for w, m in rows])
+    schema = "workspace string, timestamp timestamp"
+    table, at = spark.read.schema(schema).json(str(tmp_path / "in")), F.lit(T0 + timedelta(minutes=545))
+    assert {(r.workspace, r.last_at) for r in watch.idle(table, now=at).collect()} == {("a", T0 + timedelta(minutes=10)), ("b", T0 + timedelta(minutes=300))}
+    assert watch.idle(table, 0, now=at).count() == 0
+    out = drain(spark, watch.idle(spark.readStream.schema(schema).json(str(tmp_path / "in"))), "idle")
+    assert sorted((r.workspace, r.idle_at) for r in out.collect()) == [("a", T0 + timedelta(minutes=250)), ("b", T0 + timedelta(minutes=240)), ("b", T0 + timedelta(minutes=540))]
+
+
+def test_slots_against_sessions(spark):
+    """Bursts counted by slots are those of session windows, ties and exact pauses included."""
+    import random
+
+    r = random.Random(3)
+    rows, ms = [], 0
+    for _ in range(400):
+        ms += r.choice([0, 1, 500, 1999, 2000, 2001, 5000])
+        rows.append((r.choice("xy"), T0 + timedelta(milliseconds=ms)))
+    e = spark.createDataFrame(rows, "path string, timestamp timestamp")
+    plain = e.groupBy("path", F.session_window("timestamp", "2 seconds").alias("w")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
+    assert sorted(map(tuple, watch.bursts(e, key="path").collect())) == sorted(map(tuple, plain.select("path", "a", "b", "n").collect()))
+    whole = e.groupBy(F.session_window("timestamp", "2 seconds").alias("w")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
+    assert sorted(map(tuple, watch.bursts(e).collect())) == sorted(map(tuple, whole.select("a", "b", "n").collect()))
