@@ -384,7 +384,8 @@ def documented(sources: DataFrame) -> DataFrame:
     """(path, name, line_start, line_end, signature, docstring, body): functions of the files (path, source) with a documentation
     comment of at least LEAST_WORDS words of its own; docstring is the comment without marks.
 
-    Null sources, unknown extensions and files without functions give none; a repeated row of a file counts once.
+    Null sources, unknown extensions and files without functions give none; a repeated row of a file is put out again. Should two
+    texts of one path have a function of one name on the same line, both are put out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,16 +403,22 @@ def documented(sources: DataFrame) -> DataFrame:
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names)
 
-    return sources.select("path", "source").where("path is not null and source is not null").mapInArrow(run, _FOUND).dropDuplicates(["path", "name", "line_start"])
+    return sources.select("path", "source").where("path is not null and source is not null").mapInArrow(run, _FOUND)
 
 
-def pairs(sources: DataFrame, functions: DataFrame) -> DataFrame:
-    """(fn_id, signature, docstring, body) of each of `functions` that documented() finds at its place in its file,
-    matched by file_path, name and line_start; once per fn_id. Signature, docstring and body are those of the source."""
+def _placed(sources: DataFrame, functions: DataFrame) -> DataFrame:
+    """documented() with the fn_id of the function at its place, matched by file_path, name and line_start."""
     known = functions.select("fn_id", F.col("file_path").alias("path"), "name", "line_start").where("fn_id is not null").distinct()
-    return known.join(documented(sources), ["path", "name", "line_start"]).select("fn_id", "signature", "docstring", "body").dropDuplicates(["fn_id"])
+    return known.join(documented(sources), ["path", "name", "line_start"])
+
+
+def pairs(sources: DataFrame, functions: DataFrame) -> DataFrame:
+    """(fn_id, signature, docstring, body) of each of `functions` that documented() finds at its place in its file; once per fn_id,
+    of several the first by docstring, signature and body. All three are those of the source."""
+    one = _placed(sources, functions).groupBy("fn_id").agg(F.min(F.struct("docstring", "signature", "body")).alias("p"))
+    return one.select("fn_id", "p.signature", "p.docstring", "p.body")
 
 
 def found(sources: DataFrame, functions: DataFrame) -> DataFrame:
     """fn_id of each function whose documentation describes it."""
-    return pairs(sources, functions).select("fn_id")
+    return _placed(sources, functions).select("fn_id").distinct()
