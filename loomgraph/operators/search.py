@@ -39,15 +39,14 @@ def keyword_search(records: DataFrame, query: str, limit: int = 10, id_column: s
 
 def hybrid_search(records: DataFrame, query: str, query_vector, limit: int = 10, id_column: str = "id") -> DataFrame:
     """(id, source_type, score): 0.7 of the cosine, 0 if negative or without a vector, and 0.3 of the keyword score."""
-    near = F.greatest(F.coalesce(vector.cosine(F.col("embedding"), vector.literal(query_vector)), F.lit(0.0)), F.lit(0.0)) if query_vector is not None else F.lit(0.0)
+    near = F.coalesce(vector.similarity(F.col("embedding"), query_vector), F.lit(0.0)) if query_vector is not None else F.lit(0.0)
     score = F.lit(VECTOR_WEIGHT) * near + F.lit(KEYWORD_WEIGHT) * text.keyword_score(F.lit(query), F.col("content"))
     return top(records.select(F.col(id_column), F.col("content_type").alias("source_type"), F.round(score, DIGITS).alias("score")), limit, id_column)
 
 
 def similar(records: DataFrame, query_vector) -> DataFrame:
     """The records with a vector of the query's length, with their score: the cosine held to 0..1; NaN and infinite ones are dropped."""
-    fit = F.col("embedding").isNotNull() & (F.size("embedding") == len(query_vector)) & vector.is_finite(F.col("embedding"))
-    scored = records.where(fit).withColumn("score", vector.score(vector.cosine(F.col("embedding"), vector.literal(query_vector))))
+    scored = records.where("embedding is not null").withColumn("score", vector.similarity(F.col("embedding"), query_vector))
     return scored.where("score is not null").withColumn("score", F.round("score", DIGITS))
 
 

@@ -58,3 +58,13 @@ def test_cosine(spark):
     assert held[7] == 0.0
     assert [r.f for r in rows.select(vector.is_finite(F.col("e")).alias("f")).collect()] == [True, True, True, True, True, None, False, True]
     assert [r.f for r in rows.select(vector.is_meaningful(F.col("e")).alias("f")).collect()] == [True, True, False, True, False, False, True, True]
+
+
+def test_similarity(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [-1.0, 0.0]), (3, None), (4, []), (5, [1.0]), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "id int, e array<float>").repartition(3)
+    got = {r.id: r.s for r in df.select("id", F.round(vector.similarity(F.col("e"), [2.0, 0.0]), 6).alias("s")).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.0, 3: None, 4: None, 5: None, 6: 0.0, 7: None, 8: None, 9: None, 10: 0.707107}
+    assert {r.s for r in df.select(vector.similarity(F.col("e"), [0.0, 0.0]).alias("s")).collect()} == {0.0, None}
+    assert spark.range(1).select(vector.literal([1.5, -2e-8, 0.0]).alias("v")).first().v == [1.5, -2e-8, 0.0]
