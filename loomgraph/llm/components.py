@@ -31,3 +31,14 @@ def components(links: DataFrame) -> DataFrame:
     top = stage(top, "roots")
     names = top.groupBy("to").agg(F.min("node").alias("component"))
     return top.join(names, "to").select("node", "component")
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known (node, component) of earlier links, brought up to further links (a, b): only the components that these join are worked on."""
+    side = lambda c, name: known.select(F.col("node").alias(c), F.col("component").alias(name))
+    placed = stage(links.where("a <> b").join(side("a", "p"), "a", "left").join(side("b", "q"), "b", "left").select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), "placed")
+    if placed.isEmpty():
+        return known
+    joined = components(placed.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    nodes = known.unionByName(placed.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("p").alias("component")), F.struct(F.col("b").alias("node"), F.col("q").alias("component")))).alias("n")).select("n.*").distinct())
+    return stage(nodes.distinct().join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "merged")
