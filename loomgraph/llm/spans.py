@@ -329,7 +329,7 @@ class FingerprintIndex:
         self.runs.append((run, rows, name))
         self._note()
         keyed = stage(hits.join(several, "key"), "keyed")
-        owned = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), *_owner_sums()), "owned")
+        owned = keyed.groupBy("key").agg(F.count("*").alias("n"), *_owner_sums())
         few = owned.where(F.col("n") <= CROWD).groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
         kept = keyed.join(few, "key")
         left = kept.select("key", F.col("doc").alias("a"), F.col("new").alias("new_a"))
@@ -356,6 +356,9 @@ def verified(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
 def classes(corpus: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the crowds' (key, doc): stretches (doc, begin, end, rep) of a text that rep, the first text of their windows' class, has too;
     and the windows they are of (key, doc). A rep's own windows are stretches of itself."""
+    if crowds.isEmpty():
+        spark = crowds.sparkSession
+        return spark.createDataFrame([], "doc long, begin int, end int, rep long"), spark.createDataFrame([], "key long, doc long")
     wanted = crowds.groupBy("doc").agg(F.collect_set("key").alias("wanted"))  # as many as the text has keys
     texts = stage(_texts(corpus, crowds), "texts")
     windows = stage(wanted.join(texts, "doc").select("doc", "wanted", "text").mapInArrow(_widened, _WINDOW), "windows")
