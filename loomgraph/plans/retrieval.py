@@ -87,21 +87,6 @@ def summary_truncate(spark, folder) -> DataFrame:
     return model.content_records(spark, folder).select("id", text.summary(F.col("content")).alias("summary"))
 
 
-def relevance_precision(spark, folder) -> DataFrame:
-    """Title words of each adr as query, the adr itself expected: how often keyword search has it among the first five."""
-    r = model.content_records(spark, folder).where("content_type = 'adr' and content is not null")
-    title = F.regexp_extract("content", "^#* *([^\\n]+)", 1)
-    queries = r.select(F.col("id").alias("query"), title.alias("title")).where("title <> ''")
-    words = queries.select("query", F.explode(F.array_distinct(text.words(F.lower("title")))).alias("term"))
-    sizes = words.groupBy("query").agg(F.count("*").alias("terms"))
-    # Whole words by an equi-join; each record's words once.
-    held = r.select("id", text.words(F.lower("content")).alias("w")).select("id", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("term"))
-    hits = words.join(held, "term").groupBy("query", "id").agg(F.count("*").alias("hits"), F.max("n").alias("n")).join(sizes, "query")
-    score = F.round(F.col("hits") / F.col("terms") / (1.0 + F.ln(F.greatest("n", F.lit(1)).cast("double"))), 6)
-    ranked = hits.withColumn("score", score).withColumn("rank", F.expr("row_number() over (partition by query order by score desc, id)"))
-    return search.precision_at(ranked.select("query", "id", "rank"), queries.select("query", F.col("query").alias("id")))
-
-
 def symbols_page(spark, folder) -> DataFrame:
     return listing.page(model.symbols(spark, folder), listing.symbol_filter(name=NAME_PART), 50, 10)
 
@@ -209,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         memory_keyword_topk, memory_hybrid_topk, content_by_type, content_hashes, knn_symbols, knn_symbols_by_kind, knn_content_filtered, cosine_edge_cases, unified_search,
-        unified_keyword_fallback, summary_truncate, relevance_precision, symbols_page, symbols_page_per_kind, symbols_loose_filter, symbols_total, symbols_by_name, symbols_of_files,
+        unified_keyword_fallback, summary_truncate, symbols_page, symbols_page_per_kind, symbols_loose_filter, symbols_total, symbols_by_name, symbols_of_files,
         code_files_scan, edges_scan, resolve_ends, workspace_statistics, edge_type_counts, kind_counts, embedding_coverage, bfs_neighborhood_nodes, bfs_capped, adjacency,
         outbound_reachable, hybrid_graph_knn, impact_counts, concerns_for_task, tasks_for_symbols, links_of_tasks,
     )
@@ -276,10 +261,4 @@ SQL = {
     "concerns_for_task": f"WITH {Q.SYM}, {Q.LINK} SELECT src AS task, dst AS id, coalesce(name, '') AS name, coalesce(kind, '') AS kind FROM link LEFT JOIN sym ON id = dst WHERE edge_type = 'concerns'",
     "tasks_for_symbols": f"WITH {Q.SYM}, {Q.LINK} SELECT file_path, src AS task, id FROM link JOIN sym ON id = dst WHERE edge_type = 'concerns'",
     "links_of_tasks": f"WITH {Q.LINK} SELECT b.id AS task, count(l.src) AS links FROM (SELECT DISTINCT id FROM backlog_item) b LEFT JOIN link l ON l.src = b.id AND edge_type = 'concerns' GROUP BY 1",
-    "relevance_precision": f"""WITH {Q.RECORD}, r AS (SELECT id, content, regexp_extract(content, '^#* *([^\\n]+)', 1) AS title FROM record WHERE content_type = 'adr' AND content IS NOT NULL),
-      wanted AS (SELECT DISTINCT id AS query, unnest({Q.words('lower(title)')}) AS term FROM r WHERE title <> ''),
-      held AS (SELECT DISTINCT id, len({Q.words('lower(content)')}) AS n, unnest({Q.words('lower(content)')}) AS term FROM r),
-      hits AS (SELECT query, id, round(count(*)::DOUBLE / (SELECT count(*) FROM wanted w WHERE w.query = wanted.query) / (1.0 + ln(greatest(max(n), 1)::DOUBLE)), 6) AS score FROM wanted JOIN held USING (term) GROUP BY query, id),
-      ranked AS (SELECT query, id FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5)
-      SELECT round(avg((query IN (SELECT query FROM ranked WHERE id = query))::INTEGER)::DOUBLE, 6) AS precision FROM r, LATERAL (SELECT id AS query) WHERE title <> ''""",
 }
