@@ -188,10 +188,18 @@ def recent_samples(events: DataFrame, keep: int = SAMPLES) -> DataFrame:
 
 
 def rolling_rate(events: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
-    """event_id, calls: how many calls of its connection lie in the `seconds` up to each event."""
+    """event_id, calls: how many calls of its connection lie in the `seconds` up to each event.
+
+    Calls are counted by second, and each second stands in its own slot of `seconds` and in the next, so that a slot holds all its
+    calls are counted with, and a busy connection is many tasks."""
     at = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    by = W.partitionBy("connection_id").orderBy("at").rangeBetween(-seconds, 0)
-    return events.select("event_id", "connection_id", at.alias("at")).select("event_id", F.count("*").over(by).alias("calls"))
+    slim = events.select("event_id", "connection_id", at.alias("at"))
+    slot = F.floor(F.col("at") / seconds)
+    counted = slim.groupBy("connection_id", "at").agg(F.count("*").alias("n"))
+    slots = counted.withColumn("slot", F.explode(F.when(F.col("at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(slot, slot + 1))))
+    by = W.partitionBy("connection_id", "slot").orderBy("at").rangeBetween(-seconds, 0)
+    own = slots.withColumn("calls", F.sum("n").over(by)).where(F.col("slot").eqNullSafe(slot)).select(F.col("connection_id").alias("c"), F.col("at").alias("second"), "calls")
+    return slim.join(own, F.col("connection_id").eqNullSafe(F.col("c")) & F.col("at").eqNullSafe(F.col("second"))).select("event_id", "calls")
 
 
 def rate_limited(events: DataFrame, calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:

@@ -82,3 +82,37 @@ def test_calibration(spark):
     tool = spark.createDataFrame([("point_lookup", 100), ("point_lookup", 200), ("impact_trace", 500)], side)
     rep = {r.purpose: r for r in calibration.report(base, tool).collect()}
     assert rep["point_lookup"].multiplier == 4.0 and rep["impact_trace"].confidence == "low" and rep["implementation"].multiplier == 0.0 and len(rep) == 5
+
+
+def test_slots_against_plain_rules(spark):
+    """Rates, hammering, percentiles and limits by slots and brackets, against loops over all events."""
+    import random
+
+    r = random.Random(5)
+    rows, at = [], 0
+    for _ in range(600):
+        at += r.choice([0, 0, 1, 1, 2, 5, 30, 60, 61, 200])
+        rows.append(dict(at=at, conn=r.choice("xyz"), tool_name=r.choice("ab"), role=r.choice(["r", None]), ms=r.choice([1, 2, 2, 3, r.random() * 100])))
+    e = events(spark, *rows)
+    near = lambda i, s: sum(q["conn"] == rows[i]["conn"] and 0 <= rows[i]["at"] - q["at"] <= s for q in rows)
+    assert {x.event_id: x.calls for x in telemetry.rolling_rate(e, 60).collect()} == {i: near(i, 60) for i in range(len(rows))}
+    held, want = {}, {}
+    for i, q in enumerate(rows):
+        own = [t for t in held.get(q["conn"], []) if t > q["at"] - 60]
+        want[i] = len(own) < 3
+        held[q["conn"]] = own + [q["at"]] * want[i]
+    assert {x.event_id: x.accepted for x in telemetry.rate_limited(e, 3, 60).collect()} == want
+    for calls in (3, 6, 40):
+        hit = {}
+        for role in ("r", "anonymous"):
+            for tool in "ab":
+                t = sorted(q["at"] for q in rows if (q["role"] or "anonymous") == role and q["tool_name"] == tool)
+                if any(b - a <= 60 for a, b in zip(t, t[calls - 1 :])):
+                    hit.setdefault(role, tool)
+        assert {x.agent_role: x.tool_name for x in telemetry.hammering(e, 60, calls).collect()} == hit
+    for x in telemetry.latency_percentiles(e).collect():
+        v = sorted(float(q["ms"]) for q in rows if q["tool_name"] == x.tool_name)
+        assert (x.p50, x.p95, x.p99) == tuple(v[min(len(v) * p // 100, len(v) - 1)] for p in (50, 95, 99))
+    assert telemetry.latency_percentiles(e.limit(0)).count() == 0 and telemetry.rate_limited(e.limit(0)).count() == 0
+    odd = e.limit(2).selectExpr("event_id", "tool_name", "cast(null as timestamp_ntz) as timestamp", "cast(null as string) as connection_id")
+    assert [x.calls for x in telemetry.rolling_rate(odd).collect()] == [2, 2] and not any(x.accepted for x in telemetry.rate_limited(odd).collect())
