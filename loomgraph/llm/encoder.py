@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -130,11 +131,14 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     """(id, ids) of each row: the token ids of its text, without special tokens.
 
     Null and empty texts have the empty list; strings of special tokens are ordinary text; every row comes out
-    once, repeated rows as often as they stand there; an empty table gives no rows. Other columns are not read.
+    once, repeated rows as often as they stand there; an empty table gives no rows. Other columns are not read. The
+    vocabulary is a file of the driver's, or of any file system that Spark reads; Spark brings it to the workers.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = vocabulary.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             for s in range(0, b.num_rows, 2000):  # so that the ids of few texts are in memory at a time
                 part = b.slice(s, 2000)

@@ -47,8 +47,9 @@ KEYS_PER_CHAR = 0.02
 LANE = 1000
 #: Characters worked on at a time; longer texts are read in overlapping parts.
 CHUNK = 400_000
-#: A run is merged with the one before it once it has at least 1 / GROWTH of its rows.
-GROWTH = 2
+#: A run is merged with the one before it once it has at least 1 / GROWTH of its rows: runs of like size, so that a key is rewritten a
+#: logarithmic number of times.
+GROWTH = 1.5
 #: Windows put out at a time.
 PUT_OUT = 1_000_000
 
