@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from contextlib import suppress
 from pathlib import Path
 
@@ -46,9 +48,21 @@ def ship(spark: SparkSession) -> None:
     at_home = sc.master.startswith("local[") and Path.cwd() == root
     if (sc.master.startswith("local") and on_path) or at_home:
         return
-    folder = tempfile.mkdtemp(prefix="loomgraph-code-")  # of the driver only; Spark serves it from there
-    atexit.register(shutil.rmtree, folder, True)
-    sc.addPyFile(shutil.make_archive(f"{folder}/loomgraph", "zip", root, "loomgraph"))
+    if sc.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="loomgraph-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/loomgraph", "zip", root, "loomgraph"))
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "loomgraph").rglob("*.py")):
+            z.write(f, f.relative_to(root).as_posix())
+    path = f"{app_dir(spark)}/loomgraph.zip"
+    fs, p = _at(spark, path)
+    out = fs.create(p, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
