@@ -30,11 +30,16 @@ from loomgraph.session import stage
 
 #: Labelled rows the forest is fitted on, about, and its size.
 FIT_ROWS = 20_000
-TREES = 24
+FIT_PARTS = 8
+TREES = 32
 DEPTH = 6
+#: Share of the features each node chooses from: enough for a path to be weighed in nearly every tree.
+FEATURE_SHARE = "0.5"
 #: Up to this share of identifier characters outside comments and literals a file is an example of data, from CLEAR_SHARE on of none.
 DATA_SHARE, CLEAR_SHARE = 0.1, 0.3
 DATA_LEAST_CHARS = 200
+#: A file without a notice that a first forest gives this probability is no example of a hand-written one.
+DOUBT = 0.25
 #: One of so many labelled rows is held out by evaluation().
 HELD_OUT = 5
 #: The indexer reads no file above this size.
@@ -182,9 +187,12 @@ def labelled(seen: DataFrame) -> DataFrame:
 def fit(examples: DataFrame):
     """A random forest over (FEATURES, label), both classes weighing the same; None if one of them has no rows.
 
-    The rows are a bounded sample: about FIT_ROWS of them, those with the smallest hash of their id."""
+    The rows are a bounded sample: about FIT_ROWS of them, those with the smallest hash of their id, in an order of their own, so that
+    the forest is the same however the table is split. Files without a notice need not be hand-written: those that a first forest
+    gives DOUBT or more are no examples for the one that counts."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     counts = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -192,8 +200,11 @@ def fit(examples: DataFrame):
     share = min(1.0, FIT_ROWS / sum(counts.values()))
     sample = examples.where((F.xxhash64("file_id", F.lit(3)) / float(1 << 63)) <= 2 * share - 1) if share < 1 else examples
     sample = sample.withColumn("weight", F.when(F.col("label") == 1.0, counts[0.0] / counts[1.0]).otherwise(1.0))
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label", "weight")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, weightCol="weight", seed=7, subsamplingRate=0.8).fit(assembled)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("file_id", "features", "label", "weight")
+    rows = rows.repartition(FIT_PARTS, "file_id").sortWithinPartitions("file_id")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, weightCol="weight", seed=7, subsamplingRate=0.8, featureSubsetStrategy=FEATURE_SHARE)
+    sure = forest.fit(rows).transform(rows).where((F.col("label") == 1.0) | (vector_to_array("probability")[1] < DOUBT))
+    return forest.fit(sure.select("features", "label", "weight"))
 
 
 def judged(model, seen: DataFrame) -> DataFrame:
