@@ -103,15 +103,21 @@ def overall_score(agents: DataFrame) -> DataFrame:
 def hammering(events: DataFrame, seconds: int = HAMMER_SECONDS, calls: int = HAMMER_CALLS) -> DataFrame:
     """agent_role, tool_name: the first tool by name that a role called `calls` times within `seconds` (whole epoch seconds).
 
-    Calls are counted by second first. A second's calls go into the slot of `seconds` it lies in and into the next one, so each
-    slot holds all that its calls may be counted with, and no role or tool is one task."""
+    Calls are counted by slots of `seconds` first. A slot of `calls` is a hit as it stands. Otherwise only two slots in
+    succession can make one, if they hold `calls` together: fewer than 2 x `calls` times, whatever the table's size and `seconds`, and
+    these alone are looked at one by one. So no role, tool or slot is one task, and no sum is made anew for each call."""
     at = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
     e = events.select(F.coalesce("agent_role", F.lit("anonymous")).alias("agent_role"), "tool_name", at.alias("at")).where("at is not null")
-    counted = e.groupBy("agent_role", "tool_name", "at").agg(F.count("*").alias("n"))
     slot = F.floor(F.col("at") / seconds)
-    slots = counted.withColumn("slot", F.explode(F.array(slot, slot + 1)))
-    by = W.partitionBy("agent_role", "tool_name", "slot").orderBy("at").rangeBetween(-seconds, 0)
-    hit = slots.withColumn("within", F.sum("n").over(by)).where(F.col("within") >= calls)
+    counted = e.groupBy("agent_role", "tool_name", slot.alias("slot")).agg(F.count("*").alias("n"))
+    full, thin = counted.where(F.col("n") >= calls), counted.where(F.col("n") < calls)
+    ends = thin.select("agent_role", "tool_name", "n", F.explode(F.array("slot", F.col("slot") + 1)).alias("end"))
+    twos = ends.groupBy("agent_role", "tool_name", "end").agg(F.sum("n").alias("n")).where(F.col("n") >= calls)
+    look = twos.select(F.col("agent_role").alias("role"), F.col("tool_name").alias("tool"), "end", F.explode(F.array("end", F.col("end") - 1)).alias("in"))
+    near = e.join(look, (F.col("agent_role") == F.col("role")) & F.col("tool_name").eqNullSafe(F.col("tool")) & (slot == F.col("in")))
+    times = near.groupBy("agent_role", "tool_name", "end").agg(F.sort_array(F.collect_list("at")).alias("times"))
+    close = F.exists(F.sequence(F.lit(0), F.size("times") - calls), lambda i: F.col("times")[i + calls - 1] - F.col("times")[i] <= seconds)
+    hit = full.select("agent_role", "tool_name").unionByName(times.where(close).select("agent_role", "tool_name"))
     return hit.groupBy("agent_role").agg(F.min("tool_name").alias("tool_name"))
 
 

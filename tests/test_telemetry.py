@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from loomgraph.operators import calibration, policy, telemetry
@@ -47,6 +48,18 @@ def test_hammering(spark):
     assert telemetry.hammering(events(spark, *[dict(at=i * 3) for i in range(21)])).count() == 1
 
 
+def test_hammering_long_and_busy(spark):
+    """A month of calls, one a second: the time does not grow with the square of the calls in `seconds`."""
+    e = spark.range(150_000).selectExpr("'r' as agent_role", "if(id % 1000 = 0, null, 'a') as tool_name", "timestamp_seconds(id - 5000) as timestamp")
+    began = time.monotonic()
+    assert [tuple(x) for x in telemetry.hammering(e, 30 * 86_400).collect()] == [("r", "a")]
+    assert [tuple(x) for x in telemetry.hammering(e.where("tool_name is null"), 30 * 86_400).collect()] == [("r", None)]
+    assert telemetry.hammering(e, 30 * 86_400, 150_000).count() == 0
+    # 149,850 calls over 149,998 seconds, on both sides of the slot's end at 1970-01-01
+    assert telemetry.hammering(e, 149_998, 149_850).count() == 1 and telemetry.hammering(e, 149_997, 149_850).count() == 0
+    assert time.monotonic() - began < 90
+
+
 def test_timing(spark):
     e = events(spark, *[dict(ms=m) for m in [10] * 9 + [100]])
     r = telemetry.query_timing(e).first()
