@@ -9,10 +9,11 @@ dropped on the signatures (at a similarity of 0.7 that is one in a million), the
 
 No bucket is expanded to all its pairs. Its members are compared with one of them; what that puts into one group
 needs no more comparison. Members of a bucket of up to HOT that are still in different groups are compared pair by pair.
-A larger bucket stands for a chunk that unlike bodies have in common, such as boilerplate: it is split by the keys of a
-second chunk, and so on, and its parts are treated alike. Pairs that have a smaller bucket in common lose nothing by it; one that
-meets in a large bucket alone must agree in a second chunk, which any pair within 2 x CHUNKS - 3 unlike symbols does.
-groups(hot=None) splits nothing and compares all.
+A larger bucket stands for a chunk that unlike bodies have in common, such as boilerplate. Its members meet again by their
+rare shingles: in any one order of all shingles, the first of those that two alike bodies share is among the first
+size - ceil(size x SIMILAR) + 1 of either, so those are a body's keys, rarest first. That loses no alike pair, and boilerplate, which
+comes last, brings none together. What meets there is treated as before, but compared in full, however many meet.
+groups(hot=None) takes no such way and compares all.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components, merged
@@ -39,7 +41,7 @@ SYMBOLS = CHUNKS * WIDTH
 BITS = 16
 #: Equal symbols of two signatures from which on their bodies are compared.
 LEAST_EQUAL = 10
-#: Members of a bucket up to which they are compared pair by pair.
+#: Members of a bucket up to which they are compared pair by pair; those of larger ones meet by their rare shingles.
 HOT = 256
 #: Keys a bucket of the key table has room for, about.
 BUCKET_KEYS = 8_000_000
@@ -99,6 +101,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(owner)], ["key", "rep"])
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (rep, body) a row (key, rep, size) per shingle of the body; size is the number of its shingles."""
+    for b in batches:
+        for s in range(0, b.num_rows, 500):
+            part = b.slice(s, 500)
+            words, ends = flat_words(part.column(1).to_pylist(), CODE_WORDS, False)
+            g, at = grams(words, ends, SHINGLE)
+            owner = np.searchsorted(ends, at, side="right") - 1
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+            g, owner = g[new], owner[new]
+            sizes = np.bincount(owner, minlength=part.num_rows)[owner].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(sizes)], ["key", "rep", "size"])
+
+
 def shingles(text: str) -> set[tuple[str, ...]]:
     t = CODE_WORDS.findall(text)
     return set(zip(t, t[1:], t[2:]))
@@ -126,25 +145,31 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
+def _texts(bodies: DataFrame, used: DataFrame) -> DataFrame:
+    """(fn_id, body) of the ids in `used`, one body each."""
+    return bodies.join(used, "fn_id").groupBy("fn_id").agg(F.min_by("body", F.sha2("body", 256)).alias("body"))
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bodies are alike: by their signatures first, so that no body moves for others, then on the shingles."""
     left, right = (signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b"))
     pairs = stage(stage(pairs, "met").join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"), "pairs")
     used = pairs.select(F.col("a").alias("fn_id")).unionByName(pairs.select(F.col("b").alias("fn_id"))).distinct()
-    texts = stage(bodies.join(used, "fn_id").groupBy("fn_id").agg(F.min_by("body", F.sha2("body", 256)).alias("body")), "bodies")
+    texts = stage(_texts(bodies, used), "bodies")
     left = texts.select(F.col("fn_id").alias("a"), F.col("body").alias("body_a"))
     right = texts.select(F.col("fn_id").alias("b"), F.col("body").alias("body_b"))
     wide = pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b")
     return stage(wide.mapInArrow(_alike, "a long, b long"), "alike")
 
 
-def _split(crowded: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rows (key, rep, used) of crowded buckets as rows of smaller ones, by each key of a chunk not used yet; used has a bit per chunk."""
-    more = keyed.select(F.col("key").alias("second"), "rep", F.expr(f"shiftleft(1, cast(shiftright(key, {BITS * (WIDTH - 1)}) as int) div {WIDTH})").alias("bit"))
-    rows = crowded.join(more, "rep").where(F.col("used").bitwiseAND(F.col("bit")) == 0)
-    rows = rows.select(F.xxhash64("key", "second").alias("key"), "rep", F.col("used").bitwiseOR(F.col("bit")).alias("used"))
-    several = rows.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key")
-    return rows.join(several, "key").distinct()
+def _rare(reps: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows (key, rep) of the shingles by which the bodies of `reps` meet: of each the rarest among them, as many as it takes for
+    alike ones to have one in common. Shingles of one body alone come first in the order, but need no row."""
+    rows = stage(_texts(bodies, reps.select(F.col("rep").alias("fn_id"))).mapInArrow(_shingled, "key long, rep long, size int"), "shingles")
+    times = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    by = W.partitionBy("rep")
+    placed = rows.join(times, "key").withColumns({"place": F.row_number().over(by.orderBy("times", "key")), "held": F.count("*").over(by)})
+    return placed.where(f"place <= held + 1 - ({SIMILAR[0]} * size + {SIMILAR[1] - 1}) div {SIMILAR[1]}").select("key", "rep")
 
 
 def groups(functions: DataFrame, hot: int | None = HOT) -> DataFrame:
@@ -154,8 +179,8 @@ def groups(functions: DataFrame, hot: int | None = HOT) -> DataFrame:
     Bodies are alike when they are equal, or at least SIMILAR of the union of their three-token shingles is common;
     a body of fewer than three tokens is alike equal ones only. body_hash is not trusted. Null bodies belong to no
     group, an empty body to that of the other empty ones; repeated rows count once (of several bodies of one fn_id that of the
-    smallest SHA-256); an empty table gives no rows. hot: members of a bucket up to which all are compared; None compares all,
-    however many.
+    smallest SHA-256); an empty table gives no rows. hot: members of a bucket up to which all are compared, those of larger ones
+    where they have a rare shingle in common; None compares all, however many.
     """
     bodies = functions.select("fn_id", "body").where("fn_id is not null and body is not null")
     signed = stage(bodies.mapInArrow(_signed, "fn_id long, same binary, sig binary"), "signatures")
@@ -166,26 +191,25 @@ def groups(functions: DataFrame, hot: int | None = HOT) -> DataFrame:
     # Bucketed and sorted by key: neither the grouping nor the join below moves a key.
     keyed = bucketed(signs.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), f"near_{uuid.uuid4().hex[:12]}", "key", buckets)
     shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key")
-    bit = F.expr(f"shiftleft(1, cast(shiftright(key, {BITS * (WIDTH - 1)}) as int) div {WIDTH})")
-    met = stage(keyed.hint("merge").join(shared, "key").select("key", "rep", bit.alias("used")), "buckets")
+    met = stage(keyed.hint("merge").join(shared, "key").select("key", "rep"), "buckets")
     joined, tried, rest = None, None, None
-    for depth in range(CHUNKS):
+    for limit in (hot, None):
         centres = met.groupBy("key").agg(F.min("rep").alias("a"))
         stars = met.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
         stars = stage(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         tried = stars if tried is None else tried.unionByName(stars)
         sure = _verified(stars, bodies, signs)
         joined = components(sure) if joined is None else merged(joined, sure)
-        placed = met.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "used", F.coalesce("component", "rep").alias("part"))
+        placed = met.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
         unsettled = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
         apart = stage(placed.join(unsettled, "key"), "apart")
-        large = F.col("n") > hot if hot is not None and depth < CHUNKS - 1 else F.lit(False)
+        large = F.col("n") > limit if limit is not None else F.lit(False)
         few = apart.where(~large).select("key", "rep")
         rest = few if rest is None else rest.unionByName(few)
-        crowded = apart.where(large).select("key", "rep", "used")
-        if crowded.isEmpty():
+        crowded = apart.where(large).select("rep").distinct()
+        if limit is None or crowded.isEmpty():
             break
-        met = stage(_split(crowded, keyed), "buckets")
+        met = stage(_rare(crowded, bodies), "rare")
     pairs = paired(rest, "key", "rep").distinct()
     pairs = pairs.join(joined.select(F.col("node").alias("a"), F.col("component").alias("p")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("q")), "b", "left")
     more = _verified(pairs.where("not coalesce(p = q, false)").select("a", "b").join(tried, ["a", "b"], "left_anti"), bodies, signs)

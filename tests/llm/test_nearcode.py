@@ -101,6 +101,25 @@ def test_boilerplate_chunk(spark, monkeypatch):
     assert got == want and len(want) > 20 and sum(compared) < 8 * len(rows)
 
 
+def test_crowded_chunk_loses_nothing(spark):
+    """Alike bodies that meet in no bucket but that of a chunk key which 300 unlike ones share too: 30 of them stand there again with a
+    tail that has the least shingle for another symbol of that chunk and for two of each other chunk."""
+    r, common, tail = random.Random(11), boilerplate(), []
+    g, _ = n.grams(*n.flat_words([" ".join(f"z{i}" for i in range(200_000))], n.CODE_WORDS, False), n.SHINGLE)
+    for s in (n.WIDTH - 1, *(c * n.WIDTH + k for c in range(1, n.CHUNKS) for k in (0, 1))):
+        h = g * n._SEEDS[s]
+        k = int((h ^ (h >> np.uint64(31))).argmin())
+        tail += [f"z{k}", f"z{k + 1}", f"z{k + 2}"]
+    rows = [(i, f"{common} {body(r, 110)}") for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} {' '.join(tail)}") for i in range(30)]
+    keys = n.chunk_keys(n.signatures([b for _, b in rows])[1])
+    for i in range(30):
+        x, y = n.shingles(rows[i][1]), n.shingles(rows[300 + i][1])
+        assert 10 * len(x & y) >= 7 * len(x | y) and set(keys[i]) & set(keys[300 + i]) == {keys[i][n.WIDTH - 1]}
+    want = {i: i for i in range(30)} | {1000 + i: i for i in range(30)}
+    assert {x.fn_id: x.group_id for x in n.groups(spark.createDataFrame(rows, "fn_id long, body string")).collect()} == want
+
+
 def test_hot_and_exact(spark, monkeypatch):
     """Buckets split at once, and all compared: the same groups."""
     r = random.Random(10)
